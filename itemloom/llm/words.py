@@ -73,13 +73,13 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 class Words:
     """The words of some documents: byte ranges, document numbers, hashes."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE):
         base, end = int(offsets[0]), int(offsets[-1])
         self.raw = raw[base:end]
         self.offsets = offsets - base
         n = end - base
         self.n_docs = len(offsets) - 1
-        solid = ~_SPACE[self.raw]
+        solid = ~space[self.raw]
         opens = solid.copy()
         opens[1:] &= ~solid[:-1]
         closes = solid.copy()
