@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Different white-space-free pieces that a worker remembers between batches.
 REMEMBERED = 300_000
 #: Pieces encoded at once.
@@ -235,5 +237,6 @@ def bpe_encode(docs: DataFrame, path: str, whole: bool = False) -> DataFrame:
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if whole:
         schema += ", ids array<int>, decoded string"
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(encoder(path, whole, ["doc_id"]), schema)

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only where it is unset (tests), a folder of our own."""
@@ -26,6 +28,7 @@ class Staged:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
