@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
 from .mixing import MIX_SQL, mix
+from .quality import quality
 from .sharding import shard_by_bytes
 from .simhash_dedup import simhash_dedup
 from .substring_dedup import substring_dedup
@@ -44,10 +46,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -74,7 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_mixing": op4_mixing,
+    "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_sharding": op8_sharding,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_exact_dedup": op10_exact_dedup,
