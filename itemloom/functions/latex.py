@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rewrite import as_column, first_group, rewrite
+from .rewrite import as_column, first_group, let, rewrite
 
 # Symbols and their LaTeX names, as text and as repairs.
 NAMED = {
@@ -53,8 +53,11 @@ def spell(c: Column, table: dict[str, str]) -> Column:
     """Replace single characters by strings, looked up per character (one pass for any table size)."""
     known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     touched = "[" + "".join(table) + "]"
-    spelt = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(known, ch), ch)), "")
-    return F.when(c.rlike(touched), spelt).otherwise(c)
+
+    def spelt(x: Column) -> Column:
+        return F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.try_element_at(known, ch), ch)), "")
+
+    return let(c, lambda x: F.when(x.rlike(touched), spelt(x)).otherwise(x))
 
 
 def first_formula(c: str | Column) -> Column:
@@ -103,27 +106,36 @@ def fix_unicode(c: str | Column) -> Column:
 
 def wrap_outside_math(c: Column, pattern: str) -> Column:
     """Put dollars around matches that stand outside math, judged by the dollars before (escaped ones aside)."""
-    hidden = F.replace(c, F.lit(r"\$"), F.lit("\ue000"))
-    parts = F.split(hidden, r"\$", -1)
-    wrapped = F.transform(parts, lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, f"({pattern})", r"\$$1\$")).otherwise(x))
-    return F.when(c.rlike(pattern), F.replace(F.array_join(wrapped, "$"), F.lit("\ue000"), F.lit(r"\$"))).otherwise(c)
+
+    def wrapped(text: Column) -> Column:
+        parts = F.split(F.replace(text, F.lit(r"\$"), F.lit("\ue000")), r"\$", -1)
+        out = F.transform(parts, lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, f"({pattern})", r"\$$1\$")).otherwise(x))
+        return F.replace(F.array_join(out, "$"), F.lit("\ue000"), F.lit(r"\$"))
+
+    return let(c, lambda x: F.when(x.rlike(pattern), wrapped(x)).otherwise(x))
 
 
 def escape_latex(c: str | Column) -> Column:
     """Light escaping where LaTeX is present, else all ten characters, in their order."""
-    fixed = fix_unicode(c)
-    light = reduce(lambda x, ch: F.replace(x, F.lit(ch), F.lit("\\" + ch)), "&%#", fixed)
-    full = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), ESCAPES, fixed)
-    return F.when(F.contains(fixed, F.lit("\\")) | F.contains(fixed, F.lit("$")), light).otherwise(full)
+
+    def escaped(x: Column) -> Column:
+        light = reduce(lambda y, ch: F.replace(y, F.lit(ch), F.lit("\\" + ch)), "&%#", x)
+        full = reduce(lambda y, kv: F.replace(y, F.lit(kv[0]), F.lit(kv[1])), ESCAPES, x)
+        return F.when(F.contains(x, F.lit("\\")) | F.contains(x, F.lit("$")), light).otherwise(full)
+
+    return let(fix_unicode(c), escaped)
 
 
 def decode_escapes(c: Column) -> Column:
     """``\\uXXXX`` to its character, for the Basic Multilingual Plane."""
-    marks = F.regexp_extract_all(c, F.lit(r"\\u([0-9a-fA-F]{4})"), F.lit(1))
-    decoded = F.transform(marks, lambda h: F.decode(F.unhex(h), "UTF-16BE"))
-    parts = F.split(c, r"\\u[0-9a-fA-F]{4}", -1)
-    joined = F.array_join(F.flatten(F.zip_with(parts, F.concat(decoded, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    return F.when(c.rlike(r"\\u[0-9a-fA-F]{4}"), joined).otherwise(c)
+
+    def decoded(x: Column) -> Column:
+        marks = F.regexp_extract_all(x, F.lit(r"\\u([0-9a-fA-F]{4})"), F.lit(1))
+        chars = F.concat(F.transform(marks, lambda h: F.decode(F.unhex(h), "UTF-16BE")), F.array(F.lit("")))
+        parts = F.split(x, r"\\u[0-9a-fA-F]{4}", -1)
+        return F.array_join(F.flatten(F.zip_with(parts, chars, lambda a, b: F.array(a, b))), "")
+
+    return let(c, lambda x: F.when(x.rlike(r"\\u[0-9a-fA-F]{4}"), decoded(x)).otherwise(x))
 
 
 def fix_latex(c: str | Column) -> Column:

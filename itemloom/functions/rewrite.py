@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +20,15 @@ def rewrite(c: str | Column, rules: Iterable[tuple[str, str]], unicode: bool = F
     return out
 
 
+def let(c: str | Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it.
+
+    Without it an expression that names its input twice doubles with each step
+    of a chain.
+    """
+    return F.get(F.transform(F.array(as_column(c)), lambda x: body(x)), F.lit(0))
+
+
 def strip(c: str | Column, unicode: bool = True) -> Column:
     """Trim every kind of white space, not only U+0020."""
     return rewrite(c, [(r"^\s+|\s+$", "")], unicode)
