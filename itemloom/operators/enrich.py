@@ -13,6 +13,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.latex import fix_latex, item_error
 from ..functions.prompts import annotation_prompt, correct_text, model_answer, parse_answers, parse_or_repair, prompt_row
@@ -69,7 +70,7 @@ def completed(rows: DataFrame, provider: Provider, prompt: str = "prompt") -> Da
     from ..shipping import ship
 
     ship(rows.sparkSession)
-    return rows.mapInPandas(run, rows.schema.add("response", "string"))
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("response", StringType())]))
 
 
 def prompt_batches(items: DataFrame, key: list[str], task: str, size: int = BATCH) -> DataFrame:
