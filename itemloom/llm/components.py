@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import Staged
 
 
-def local_forest(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Edges of a spanning forest of the given edges, each to its tree's smallest node."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        top = x
-        while (y := up.setdefault(top, top)) != top:
-            top = y
-        while up[x] != top:
-            up[x], x = top, up[x]
-        return top
-
-    for x, y in zip(a, b, strict=True):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            up[max(rx, ry)] = min(rx, ry)
-    pairs = [(x, root(x)) for x in list(up) if root(x) != x]
-    return [x for x, _ in pairs], [y for _, y in pairs]
+def local_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges with the same components as the given ones: each node with its component's smallest node."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    up = np.arange(len(nodes))
+    while True:
+        low = np.minimum(up[a], up[b])
+        new = up.copy()
+        np.minimum.at(new, up[a], low)
+        np.minimum.at(new, up[b], low)
+        while True:
+            jump = new[new]
+            if (jump == new).all():
+                break
+            new = jump
+        if (new == up).all():
+            break
+        up = new
+    other = np.flatnonzero(up != np.arange(len(nodes)))
+    return nodes[other], nodes[up[other]]
 
 
 def connected_components(edges: DataFrame, staged: Staged, rounds: int = 60) -> DataFrame:

@@ -23,7 +23,9 @@ from .staging import Staged
 
 RADIUS = 3
 #: Groups of colliding fingerprints up to this size are compared pairwise in place; larger ones by ``ball_links``.
-PAIRWISE = 1_000
+PAIRWISE = 4_000
+#: Pairs compared at once, and links held before they are folded.
+CHUNK_PAIRS = 500_000
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -108,32 +110,52 @@ def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     new[1:] = key[1:] != key[:-1]
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(key)))
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
+    found = Forest()
     for b, n in zip(begin[size > PAIRWISE].tolist(), size[size > PAIRWISE].tolist(), strict=True):
-        x, y = ball_links(np.unique(fp[b : b + n]))
-        left.append(x)
-        right.append(y)
+        found.add(*ball_links(np.unique(fp[b : b + n])))
     fit = (size > 1) & (size <= PAIRWISE)
     begin, size = begin[fit], size[fit]
     rank = np.argsort(-size, kind="stable")
     begin, size = begin[rank], size[rank]
-    # members of all groups, the largest groups first, so that those with a partner at each distance are a prefix
+    # largest groups first: those with members at distance d in the order are a prefix
     for d in range(1, int(size[0]) if len(size) else 1):
         m = int(np.searchsorted(-size, -d, side="left"))
-        count = size[:m] - d
-        at = np.repeat(begin[:m], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        x, y = fp[at], fp[at + d]
-        near = np.bitwise_count(x ^ y) <= RADIUS
-        left.append(x[near])
-        right.append(y[near])
-    if not left:
-        return
-    pairs = np.stack([np.concatenate(left), np.concatenate(right)], axis=1).view(np.int64)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-    u, v = local_forest(pairs[:, 0].tolist(), pairs[:, 1].tolist())
-    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        upto = np.cumsum(size[:m] - d)
+        lo = 0
+        while lo < m:
+            done = int(upto[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(upto, done + CHUNK_PAIRS, side="right")))
+            count = size[lo:hi] - d
+            at = np.repeat(begin[lo:hi], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            x, y = fp[at], fp[at + d]
+            near = np.bitwise_count(x ^ y) <= RADIUS
+            found.add(x[near], y[near])
+            lo = hi
+    u, v = found.edges()
+    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+
+class Forest:
+    """Verified links of a partition, folded into a spanning forest whenever they become many."""
+
+    def __init__(self) -> None:
+        self.u: list[np.ndarray] = []
+        self.v: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.u.append(x)
+        self.v.append(y)
+        self.n += len(x)
+        if self.n > CHUNK_PAIRS:
+            u, v = self.edges()
+            self.u, self.v, self.n = [u], [v], len(u)
+            if self.n > CHUNK_PAIRS // 2:
+                self.n = 0  # the forest itself is large; wait for as many new links
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.uint64)
+        return local_forest(np.concatenate([none, *self.u]), np.concatenate([none, *self.v]))
 
 
 def simhash_dedup(docs: DataFrame, count: int = 3) -> DataFrame:
