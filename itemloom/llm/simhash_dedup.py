@@ -64,13 +64,12 @@ def blocks(count: int) -> list[int]:
 
 def variants(fp: Column, count: int) -> Column:
     """All variants within 1 bit, with each block left out in turn; the block is told apart by a bit inside it."""
-    out = []
-    for block in blocks(count):
-        mark = block & -block
-        rest = fp.bitwiseAND(F.lit(signed(~block & (1 << 64) - 1))).bitwiseOR(F.lit(signed(mark)))
+    def ball(block: int) -> Column:
+        rest = fp.bitwiseAND(F.lit(signed(~block & (1 << 64) - 1))).bitwiseOR(F.lit(signed(block & -block)))
         flips = F.lit([0, *[signed(1 << j) for j in range(64) if not block >> j & 1]])
-        out.append(F.transform(flips, lambda f, rest=rest: rest.bitwiseXOR(f)))
-    return F.flatten(F.array(*out))
+        return F.transform(flips, lambda f: rest.bitwiseXOR(f))
+
+    return F.flatten(F.array(*[ball(b) for b in blocks(count)]))
 
 
 def ball_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
