@@ -54,6 +54,6 @@ def smiles_error(smiles: str | Column) -> Column:
 
 def recogniser_lines(output: str | Column) -> Column:
     """S20's text side: lines 'SMILES confidence' as structs, confidence 0.5 by default, invalid ones dropped."""
-    lines = F.filter(F.transform(F.split(as_column(output), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(as_column(output), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     parsed = F.transform(lines, lambda x: F.struct(F.split(x, r"\s+")[0].alias("smiles"), F.coalesce(F.get(F.split(x, r"\s+"), F.lit(1)).try_cast("double"), F.lit(0.5)).alias("confidence")))
     return F.filter(parsed, lambda p: smiles_error(p.smiles).isNull())

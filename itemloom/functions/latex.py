@@ -78,13 +78,13 @@ def formulas(c: str | Column, apart: bool = False) -> Column:
     col = as_column(c)
     inline = r"(?<!\$)\$(?!\$)([^$]+)(?<!\$)\$(?!\$)" if apart else r"\$([^$]+)\$"
     both = F.concat(F.regexp_extract_all(col, F.lit(r"(?s)\$\$(.+?)\$\$"), F.lit(1)), F.regexp_extract_all(col, F.lit(inline), F.lit(1)))
-    return F.filter(F.transform(both, F.trim), lambda x: x != "")
+    return F.filter(F.transform(both, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def markdown_structure(c: str | Column) -> Column:
     """struct(headers, equations, sections)."""
     col = as_column(c)
-    sections = F.filter(F.transform(F.split(col, r"(?m)(?=^\**Q\d+)"), F.trim), lambda x: x != "")
+    sections = F.filter(F.transform(F.split(col, r"(?m)(?=^\**Q\d+)"), lambda x: F.trim(x)), lambda x: x != "")
     return F.struct(F.regexp_extract_all(col, F.lit(r"(?m)^#+\s+(.+)$"), F.lit(1)).alias("headers"), formulas(col, True).alias("equations"), sections.alias("sections"))
 
 

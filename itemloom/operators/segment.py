@@ -141,13 +141,13 @@ def markdown_items(pages: DataFrame) -> DataFrame:
 
 def split_by_number(text: str | Column) -> Column:
     """P10: sections cut at 'Qn.' or a line's 'n.', numbered by their order."""
-    parts = F.filter(F.transform(F.split(as_column(text), r"Q\d+\.|\n\d+\."), strip), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(as_column(text), r"Q\d+\.|\n\d+\."), lambda x: strip(x)), lambda x: x != "")
     return F.transform(parts, lambda x, i: F.struct((i + 1).alias("question_number"), x.alias("text")))
 
 
 def lettered_options(text: str | Column) -> Column:
-    """P11: '(A) text' options without a further A-D letter inside; empty ones dropped."""
-    col, p = as_column(text), r"\(([A-D])\)\s*([^A-D]*)"
+    """P11: 'A) text' options up to the next A-D letter or the line's end; empty ones dropped."""
+    col, p = as_column(text), r"(?ms)\(?([A-D])\)\.?\s*([^A-D]*?)(?=\(?[A-D]\)?|$)"
     both = F.zip_with(F.regexp_extract_all(col, F.lit(p), F.lit(1)), F.regexp_extract_all(col, F.lit(p), F.lit(2)), lambda i, t: F.struct(i.alias("id"), strip(t).alias("text")))
     return F.filter(both, lambda o: o.text != "")
 

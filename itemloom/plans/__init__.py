@@ -7,4 +7,4 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-from . import bank, papers  # noqa: E402, F401
+from . import bank, more, papers  # noqa: E402, F401

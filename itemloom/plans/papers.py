@@ -202,7 +202,7 @@ def q_generate_paper(t: Tables) -> DataFrame:
 
 @query("""
 with s as (select p_partkey, 'C' || repeat('N', (p_partkey % 3)::int) || '(=O)Cl' || case when p_partkey % 4 = 0 then '(' else '' end as s from part)
-select p_partkey, case when p_partkey % 4 = 0 then 'Unbalanced parentheses' end as error, round(2 * 12.011 + (p_partkey % 3) * 14.007 + 15.999 + 35.45, 2) as weight,
+select p_partkey, case when p_partkey % 4 = 0 then 'Unbalanced parentheses' end as error, round(2 * 12.011::double + (p_partkey % 3) * 14.007::double + 15.999::double + 35.45::double, 2) as weight,
        array_to_string(list_sort(list_distinct(regexp_extract_all(s, '[A-Z][a-z]?'))), ',') as elements from s
 """)
 def q_smiles_stats(t: Tables) -> DataFrame:
