@@ -29,10 +29,11 @@ SIZES = (3, 4, 5)
 SAMPLE = 5_000
 #: Bytes of a text used for training at most; longer ones are scored but not learnt from.
 SAMPLE_BYTES = 32_768
-#: Buckets in fewer training texts than this share are not learnt; they would only be learnt by heart.
-LEAST_SHARE = 0.002
+#: Buckets in fewer training texts than this share, or telling the labels apart less surely, are not learnt.
+LEAST_SHARE = 0.003
+LEAST_Z = 4.0
 #: Length of the steps of the embeddings.
-STEP = 6.0
+STEP = 20.0
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -81,13 +82,31 @@ class Bag:
         self.buckets, self.owner = np.concatenate(buckets), np.concatenate(owners)
         self.grams = np.bincount(self.owner, minlength=self.n_words)
 
-    def common(self, share: float) -> Bag:
-        """The same texts with only the buckets that ``share`` of them hold; words keep their number of n-grams."""
-        pair = np.unique(self.doc * np.int64(self.n_words) + self.word)
-        doc, word = pair // self.n_words, pair % self.n_words
-        by_word = np.bincount(word, minlength=self.n_words)  # texts that hold each word
-        texts = np.bincount(self.buckets, weights=by_word[self.owner], minlength=BUCKETS)
-        keep = texts[self.buckets] >= max(2, share * self.n_docs)
+    def telling(self, label: np.ndarray) -> Bag:
+        """The same texts with only the buckets whose presence differs between the labels; words keep their number of n-grams.
+
+        A bucket must be in ``LEAST_SHARE`` of the texts, and the difference of
+        its shares ``LEAST_Z`` standard errors; others would be learnt by heart.
+        """
+        has = np.zeros((2, BUCKETS))
+        order = np.argsort(self.owner, kind="stable")
+        buckets, first = self.buckets[order], np.searchsorted(self.owner[order], np.arange(self.n_words + 1))
+        start = np.concatenate([[0], np.cumsum(self.per_doc)])
+        for lo in range(0, self.n_docs, 64):
+            hi = min(lo + 64, self.n_docs)
+            seen = np.zeros((hi - lo, BUCKETS), dtype=bool)
+            for d in range(lo, hi):
+                w = np.unique(self.word[start[d] : start[d + 1]])
+                n = first[w + 1] - first[w]
+                at = np.repeat(first[w] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                seen[d - lo, buckets[at]] = True
+            for y in (0, 1):
+                has[y] += seen[label[lo:hi] == y].sum(axis=0)
+        n = np.maximum(np.bincount(label, minlength=2), 1)
+        p = has.sum(axis=0) / n.sum()
+        error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n[0] + 1 / n[1]))
+        good = (np.abs(has[1] / n[1] - has[0] / n[0]) >= LEAST_Z * error) & (has.sum(axis=0) >= max(3, LEAST_SHARE * self.n_docs))
+        keep = good[self.buckets]
         out = Bag.__new__(Bag)
         out.__dict__ |= self.__dict__
         out.buckets, out.owner = self.buckets[keep], self.owner[keep]
@@ -118,7 +137,7 @@ def rows_sum(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(index, weights=values[:, j], minlength=n) for j in range(values.shape[1])], axis=1)
 
 
-def train(bag: Bag, label: np.ndarray, check: Bag, check_label: np.ndarray, dim: int = 2, rounds: int = 30, rate: float = 0.1, patience: int = 8, seed: int = 7) -> Model:
+def train(bag: Bag, label: np.ndarray, check: Bag, check_label: np.ndarray, dim: int = 2, rounds: int = 60, rate: float = 0.1, patience: int = 8, seed: int = 7) -> Model:
     """Embeddings and softmax trained together by normalised gradient steps.
 
     A bucket's vector is scaled by the inverse root of its share in the texts,
@@ -129,7 +148,9 @@ def train(bag: Bag, label: np.ndarray, check: Bag, check_label: np.ndarray, dim:
     positive = float(label.mean()) if len(label) else 0.0
     if not 0 < positive < 1 or not bag.n_words:
         return Model(np.zeros(BUCKETS), -50.0 if positive < 0.5 else 50.0)
-    bag = bag.common(LEAST_SHARE)
+    bag = bag.telling(label)
+    if not len(bag.buckets):
+        return Model(np.zeros(BUCKETS), float(np.log(positive / (1 - positive))))
     pair, count = np.unique(bag.doc * np.int64(bag.n_words) + bag.word, return_counts=True)
     doc, word = pair // bag.n_words, pair % bag.n_words
     share = (count / bag.per_doc[doc])[:, None]
