@@ -281,7 +281,7 @@ def q_uniform_sample(t: Tables) -> DataFrame:
     """L4: fifty rows without replacement."""
     n = t.documents.groupBy("lang").agg(F.count("*").alias("in_lang"))
     picked = sampling.sample_n(t.documents.select("doc_id", "lang"), 50, 5, "doc_id")
-    return picked.join(F.broadcast(n), "lang").select("doc_id", "lang", "in_lang")
+    return picked.join(n, "lang").select("doc_id", "lang", "in_lang")
 
 
 @query("""
