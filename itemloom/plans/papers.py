@@ -296,7 +296,7 @@ def q_average_confidence(t: Tables) -> DataFrame:
 
 
 @query("""
-select (p_partkey % 5)::bigint as question_number, p_partkey as id, case when p_partkey % 3 = 0 then null else (p_partkey % 6)::int end as correct_index,
+select (p_partkey % 5)::bigint as question_number, p_partkey as id, case when p_partkey % 3 = 0 then -1 else (p_partkey % 6)::int end as correct_index,
   p_partkey % 3 <> 0 and p_partkey % 4 <> 0 as clean, p_partkey % 2 = 0 as complex from part
 """)
 def q_flagged_dataset(t: Tables) -> DataFrame:
@@ -305,4 +305,4 @@ def q_flagged_dataset(t: Tables) -> DataFrame:
     items = t.part.select(k.alias("id"), (k % 5).alias("question_number"), F.when(k % 2 == 0, "the value of cos is given").otherwise("plain words of some length").alias("question_text"),
                           F.when(k % 4 == 0, F.lit(["a", "b", "", "d"])).otherwise(F.lit(["a", "b", "c", "d"])).alias("options"), F.when(k % 3 == 0, F.lit(None)).otherwise((k % 6).cast("string")).alias("answer_raw"))
     out = filters.flagged_dataset(items)
-    return out.select("question_number", "id", "correct_index", F.col("clean_textual").alias("clean"), F.col("complex_math").alias("complex"))
+    return out.select("question_number", "id", F.coalesce("correct_index", F.lit(-1)).alias("correct_index"), F.col("clean_textual").alias("clean"), F.col("complex_math").alias("complex"))
