@@ -69,7 +69,8 @@ class Bag:
         text = words.raw[np.clip(at, 0, len(words.raw) - 1)].astype(np.uint64)
         text[open_] = ord("<")
         text[close - 1] = ord(">")
-        buckets, owners = [(mix(h) % np.uint64(BUCKETS)).astype(np.int64)], [np.arange(len(size))]
+        buckets, owners = [(mix(h) % np.uint64(BUCKETS)).astype(np.int32)], [np.arange(len(size), dtype=np.int32)]
+        owner = owner.astype(np.int32)
         for k in SIZES:
             if n < k:
                 continue
@@ -77,7 +78,7 @@ class Bag:
             for t in range(k):
                 g = g * _STEP + text[t : t + n - k + 1] + np.uint64(1)
             inside = owner[: n - k + 1] == owner[k - 1 :]
-            buckets.append((mix(g[inside] + np.uint64(k)) % np.uint64(BUCKETS)).astype(np.int64))
+            buckets.append((mix(g[inside] + np.uint64(k)) % np.uint64(BUCKETS)).astype(np.int32))
             owners.append(owner[: n - k + 1][inside])
         self.buckets, self.owner = np.concatenate(buckets), np.concatenate(owners)
         self.grams = np.bincount(self.owner, minlength=self.n_words)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text handled at once by the vectorised code; one document is never cut.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Odd multipliers of the polynomial hashes (fixed values, any odd number will do).
 BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -93,19 +93,27 @@ class Words:
         #: words before each document, so document d has first[d] .. first[d + 1]
         self.first = np.searchsorted(self.starts, self.offsets)
         self.doc = np.repeat(np.arange(self.n_docs), np.diff(self.first))
+        self._hashes: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes; equal words have equal hashes."""
-        n = len(self.raw)
-        p = powers(BYTE_BASE, n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
-        q = powers(inverse(BYTE_BASE), n + 1)
-        h = (total[self.ends] - total[self.starts]) * q[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64))
+        if self._hashes is not None:
+            return self._hashes
+        out = np.zeros(len(self), dtype=np.uint64)
+        for lo, hi in chunks(self.offsets):
+            base, end = int(self.offsets[lo]), int(self.offsets[hi])
+            at = slice(int(self.first[lo]), int(self.first[hi]))
+            n = end - base
+            total = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum((self.raw[base:end].astype(np.uint64) + np.uint64(1)) * powers(BYTE_BASE, n), out=total[1:])
+            first, past = self.starts[at] - base, self.ends[at] - base
+            h = (total[past] - total[first]) * powers(inverse(BYTE_BASE), n + 1)[first]
+            out[at] = mix(h + (past - first).astype(np.uint64))
+        self._hashes = out
+        return self._hashes
 
 
 def windows_hash(h: np.ndarray, k: int) -> np.ndarray:
