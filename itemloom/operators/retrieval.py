@@ -58,3 +58,34 @@ def store_text(topic: str | Column, prompt: str | Column) -> Column:
 def boxes_overlap(a: Column, b: Column) -> Column:
     """Closed two-dimensional intervals (x0, y0, x1, y1) that meet."""
     return ~((a.x1 < b.x0) | (b.x1 < a.x0) | (a.y1 < b.y0) | (b.y1 < a.y0))
+
+
+def overlapping(boxes: DataFrame, size: float = 10.0) -> DataFrame:
+    """N36 over all boxes (id, box): each pair a < b that meets, once.
+
+    Boxes meet in the cells of a two-dimensional grid.  A pair counts only in
+    the cell of its common part's lower corner, so nothing is deduplicated
+    afterwards.  A box with a null bound meets none.
+    """
+    at = lambda v: F.floor(v / size)
+    side = lambda n: F.explode(F.sequence(at(F.col(f"box.{n}0")), at(F.col(f"box.{n}1"))))
+    cells = boxes.select("id", "box", side("x").alias("i")).withColumn("j", side("y"))
+    pairs = cells.alias("l").join(cells.alias("r"), ["i", "j"]).where("l.id < r.id")
+    low = lambda n: at(F.greatest(F.col(f"l.box.{n}0"), F.col(f"r.box.{n}0")))
+    pairs = pairs.where((F.col("i") == low("x")) & (F.col("j") == low("y")))
+    return pairs.where(boxes_overlap(F.col("l.box"), F.col("r.box"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+
+
+def overlap_counts(boxes: DataFrame, size: float = 10.0) -> DataFrame:
+    """(id, n): how many other boxes each box meets, 0 if none.
+
+    Equal boxes are one weighted box, so a large group of them is not paired
+    among itself.
+    """
+    same = boxes.groupBy("box").agg(F.min("id").alias("id"), F.count("*").alias("w"))
+    pairs = overlapping(same.select("id", "box"), size)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(same.select(F.col("id").alias("b"), "w"), "b").groupBy("a").agg(F.sum("w").alias("others"))
+    whole = boxes_overlap(F.col("box"), F.col("box"))
+    own = same.join(others, F.col("id") == F.col("a"), "left").select(F.col("box").alias("own"), (F.coalesce("others", F.lit(0)) + F.when(whole, F.col("w") - 1).otherwise(0)).alias("n"))
+    return boxes.join(own, F.col("box").eqNullSafe(F.col("own"))).select("id", "n")

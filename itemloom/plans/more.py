@@ -241,6 +241,17 @@ def q_box_overlaps(t: Tables) -> DataFrame:
     return pairs.where(retrieval.boxes_overlap(F.col("l.box"), F.col("r.box"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
+@query("""
+with b as (select p_partkey as id, p_size::double as x0, p_size + 5.0 as x1, (p_partkey % 10)::double as y0, p_partkey % 10 + 3.0 as y1 from part)
+select a.id, count(*) - 1 as n from b a join b on not (a.x1 < b.x0 or b.x1 < a.x0 or a.y1 < b.y0 or b.y1 < a.y0) group by 1
+""")
+def q_box_overlap_counts(t: Tables) -> DataFrame:
+    """N36 on every box of the table: how many others each one meets."""
+    k = F.col("p_partkey")
+    box = F.struct(F.col("p_size").cast("double").alias("x0"), (F.col("p_size") + 5.0).alias("x1"), (k % 10).cast("double").alias("y0"), (k % 10 + 3.0).alias("y1"))
+    return retrieval.overlap_counts(t.part.select(k.alias("id"), box.alias("box")))
+
+
 @query("select doc_id % 100 as paper_id, count(*) as n, sum(n_chars)::bigint as chars from documents group by 1")
 def q_jsonl_round_trip(t: Tables) -> DataFrame:
     """Written as JSON lines and read with an explicit schema."""
@@ -274,3 +285,11 @@ def q_zip_and_lookup(t: Tables) -> DataFrame:
     ids = t.embeddings.where("vec_id < 40").select("vec_id")
     even = ids.where("vec_id % 2 = 0").withColumn("x", F.lit(1))
     return sampling.looked_up(sampling.zipped(ids, even, ["vec_id"]), t.embeddings).select("vec_id", "label")
+
+
+@query("select vec_id, label from embeddings where vec_id % 2 = 0")
+def q_zip_and_lookup_all(t: Tables) -> DataFrame:
+    """J12, J13 on every vector id."""
+    ids = t.embeddings.select("vec_id")
+    even = ids.where("vec_id % 2 = 0").withColumn("x", F.lit(1))
+    return sampling.looked_up(sampling.zipped(ids, even, ["vec_id"]), t.embeddings).select("vec_id", "label")
