@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +24,58 @@ def nearest_to(store: DataFrame, vector: list[float], k: int = 5) -> DataFrame:
     return out.orderBy("d2", "vec_id").limit(k)
 
 
-def nearest_batch(store: DataFrame, queries: DataFrame, k: int = 5, most_queries: int = 10_000) -> DataFrame:
-    """L5 for several queries (query_id, query): k nearest of each.
-
-    The queries are a stated, bounded set: they are broadcast only after their
-    number was checked, and a larger set is refused.
+def best_of_cell(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k nearest rows of a shard for each query of a block."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, asked = left.column("vec_id"), right.column("query_id")
+        x, q = (np.stack(t.column("v").combine_chunks().to_numpy(zero_copy_only=False)) if len(t) else np.zeros((0, 0)) for t in (left, right))
+        of, at, d2 = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(x) and len(q):
+            n, order = min(k, len(x)), ids.to_numpy()
+            x2, q2 = (x * x).sum(axis=1), (q * q).sum(axis=1)
+            for lo in range(0, len(q), 256):
+                rough = x2[None, :] - 2 * (q[lo : lo + 256] @ x.T) + q2[lo : lo + 256, None]
+                edge = np.partition(rough, n - 1, axis=1)[:, n - 1] + 1e-9 * (x2.max() + q2[lo : lo + 256])
+                for i in range(len(rough)):
+                    near = np.flatnonzero(rough[i] <= edge[i])
+                    # in the order of the components, as squared_distance adds
+                    exact = np.add.accumulate((x[near] - q[lo + i]) ** 2, axis=1)[:, -1]
+                    best = np.lexsort((order[near], exact))[:n]
+                    of.append(np.full(n, lo + i))
+                    at.append(near[best])
+                    d2.append(exact[best])
+        return pa.table({"query_id": asked.take(pa.array(np.concatenate(of))), "vec_id": ids.take(pa.array(np.concatenate(at))), "d2": np.concatenate(d2)})
+
+    return run
+
+
+def nearest_batch(store: DataFrame, queries: DataFrame, k: int = 5, most_queries: int = 10_000, most_rows: int = 8_192) -> DataFrame:
+    """L5 for several queries (query_id, query), however many: k nearest of each, with d2 and rank.
+
+    A grid of shards of about ``most_rows`` vectors and blocks of about
+    ``most_queries`` queries; each cell gives the k best of its shard.  Vectors
+    meet queries of the same dimension; those that are null or empty or hold
+    null or non-finite components have no distance and take no part.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries: search them in batches")
-    rows = store.select("vec_id", "embedding").join(F.broadcast(queries.select("query_id", "query")))
-    rows = rows.select("query_id", "vec_id", squared_distance("embedding", "query").alias("d2"))
+    from ..shipping import ship
+
+    ship(store.sparkSession)
+
+    def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
+        rows = df.select(key, F.col(vector).cast("array<double>").alias("v")).where(F.size("v") > 0)
+        return rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).withColumn("dim", F.size("v"))
+
+    rows, asked = usable(store, "vec_id", "embedding"), usable(queries, "query_id", "query")
+    shards, blocks = max(1, -(-rows.count() // most_rows)), max(1, -(-asked.count() // most_queries))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    left = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("block", every(blocks))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", every(shards))
+    kinds = [store.schema["vec_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()]
+    on = ["dim", "shard", "block"]
+    found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(best_of_cell(k), f"query_id {kinds[1]}, vec_id {kinds[0]}, d2 double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "vec_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def context(hits: DataFrame, text: str, by: list[str], order: list[str], n: int = 3) -> DataFrame:

@@ -26,3 +26,17 @@ def test_every_box_and_vector_id(spark):
     assert plans.QUERIES["q_box_overlap_counts"](spark, SF).count() == spark.read.parquet(f"{SF}/part.parquet").count()
     ids = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 2 = 0")
     assert plans.QUERIES["q_zip_and_lookup_all"](spark, SF).count() == ids.count() > 20
+
+
+def test_more_queries_than_a_block(spark):
+    rng = random.Random(4)
+    store = [(i, [rng.choice([0.0, 0.5, 1.5]) for _ in range(3)]) for i in range(60)] + [(100, None), (101, [0.0, None, 1.0]), (102, [0.5, 0.5]), (103, [float("nan")] * 3)]
+    df = spark.createDataFrame(store, "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(i, v) for i, v in store if i % 3 == 0], "query_id long, query array<float>")
+    got = retrieval.nearest_batch(df, asked, 4, most_queries=7, most_rows=11).collect()
+    want = []
+    for q, v in store:
+        if q % 3 == 0 and v and None not in v and v[0] == v[0]:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), i) for i, w in store if w and len(w) == len(v) and None not in w and w[0] == w[0])
+            want += [(q, i, d, n + 1) for n, (d, i) in enumerate(near[:4])]
+    assert sorted((r.query_id, r.vec_id, r.d2, r["rank"]) for r in got) == sorted(want) and len({w[0] for w in want}) > 7
