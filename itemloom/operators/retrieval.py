@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rewrite import as_column
+from ..functions.rewrite import as_column, let
 
 
 def squared_distance(a: str | Column, b: str | Column) -> Column:
@@ -86,17 +86,25 @@ def context(hits: DataFrame, text: str, by: list[str], order: list[str], n: int
 
 
 def hashed_embedding(text: str | Column, size: int = 64) -> Column:
-    """E11's offline encoder: signed hashed bag of words, unit length (stands in for a sentence model)."""
-    words = F.filter(F.split(F.lower(as_column(text)), r"\W+"), lambda w: w != "")
-    h = F.transform(words, lambda w: F.xxhash64(w))
+    """E11's offline encoder: signed hashed bag of words, unit length (stands in for a sentence model).
+
+    Words are runs of letters and digits of any script.  A text without words,
+    an empty or a null one has the zero vector.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(as_column(text), F.lit(""))), r"(?U)\W+"), lambda w: w != "")
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: unit_bins(h, size))
+
+
+def unit_bins(h: Column, size: int) -> Column:
+    """Hashes summed up by bin and sign, at unit length."""
     bins = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(h, lambda x: F.pmod(x, F.lit(size)) == i), F.lit(0.0), lambda s, x: s + F.when(F.pmod(F.shiftright(x, 8), F.lit(2)) == 0, 1.0).otherwise(-1.0)))
-    norm = F.sqrt(F.aggregate(bins, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(bins, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+    scaled = lambda b, norm: F.transform(b, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+    return let(bins, lambda b: let(F.sqrt(F.aggregate(b, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: scaled(b, norm)))
 
 
 def store_text(topic: str | Column, prompt: str | Column) -> Column:
-    """What is embedded for an item."""
-    return F.concat(F.lit("Topic: "), as_column(topic), F.lit("\nQuestion: "), as_column(prompt))
+    """What is embedded for an item; null counts as empty."""
+    return F.concat(F.lit("Topic: "), F.coalesce(as_column(topic), F.lit("")), F.lit("\nQuestion: "), F.coalesce(as_column(prompt), F.lit("")))
 
 
 def boxes_overlap(a: Column, b: Column) -> Column:

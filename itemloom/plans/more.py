@@ -228,6 +228,12 @@ def q_hashed_embeddings(t: Tables) -> DataFrame:
     return rows.select("doc_id", (F.abs(F.sqrt(norm) - 1) < 1e-6).alias("unit"))
 
 
+@query()
+def q_hashed_embeddings_all(t: Tables) -> DataFrame:
+    """E11 on every whole text (xxhash64 has no SQL here); empty and null texts are embedded by their topic alone."""
+    return t.documents.select("doc_id", retrieval.hashed_embedding(retrieval.store_text("source", "text"), 16).alias("embedding"))
+
+
 @query("""
 with b as (select p_partkey as id, p_size::double as x0, p_size + 5.0 as x1, (p_partkey % 10)::double as y0, p_partkey % 10 + 3.0 as y1 from part where p_partkey <= 60)
 select a.id as a, b.id as b from b a join b on a.id < b.id where not (a.x1 < b.x0 or b.x1 < a.x0 or a.y1 < b.y0 or b.y1 < a.y0)

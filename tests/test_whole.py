@@ -1,6 +1,8 @@
 """Whole tables instead of id subsets, prefixes and literals, against plain statements of the rules."""
 
+import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -40,3 +42,25 @@ def test_more_queries_than_a_block(spark):
             near = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), i) for i, w in store if w and len(w) == len(v) and None not in w and w[0] == w[0])
             want += [(q, i, d, n + 1) for n, (d, i) in enumerate(near[:4])]
     assert sorted((r.query_id, r.vec_id, r.d2, r["rank"]) for r in got) == sorted(want) and len({w[0] for w in want}) > 7
+
+
+def test_every_word_is_embedded(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    texts = [(0, "s", long), (1, "s", long + " last"), (2, "s", ""), (3, None, None), (4, "s", "жук"), (5, "s", "кот")]
+    df = spark.createDataFrame(texts, "i int, source string, text string")
+    got = {r.i: r for r in df.select("i", retrieval.hashed_embedding(retrieval.store_text("source", "text"), 16).alias("e"), F.xxhash64("text").alias("h")).collect()}
+    assert got[0].e != got[1].e and got[4].e != got[5].e and abs(sum(x * x for x in got[3].e) - 1) < 1e-6
+    words = {i: re.findall(r"\w+", f"topic {s or ''} question {t or ''}".lower()) for i, s, t in texts}
+    hashes = dict(map(tuple, spark.createDataFrame([(w,) for w in {w for ws in words.values() for w in ws}], "w string").select("w", F.xxhash64("w")).collect()))
+    for i, ws in words.items():
+        bins = [0.0] * 16
+        for w in ws:
+            bins[hashes[w] % 16] += 1 if (hashes[w] >> 8) % 2 == 0 else -1
+        norm = math.sqrt(sum(b * b for b in bins))
+        assert all(abs(a - b / norm) < 1e-6 for a, b in zip(got[i].e, bins))
+    assert spark.range(1).select(retrieval.hashed_embedding(F.lit(""), 4)).first()[0] == [0.0] * 4
+
+
+def test_every_document_is_embedded(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert plans.QUERIES["q_hashed_embeddings_all"](spark, SF).where("size(embedding) = 16").count() == docs.count()
