@@ -211,12 +211,26 @@ def q_annotations(t: Tables) -> DataFrame:
     return out.groupBy("paper_id").agg(F.count("*").alias("n"), F.count("annotation").alias("annotated"))
 
 
+def variations_of(t: Tables) -> DataFrame:
+    """The whole context of each conversation to a new item (the offline provider echoes JSON)."""
+    ctx = retrieval.context(t.conversations, "text", ["conv_id"], ["turn"], 3)
+    ctx = ctx.withColumn("context", F.to_json(F.struct(F.col("context").alias("question_text"), F.array(F.lit("a")).alias("options"), F.lit("1").alias("correct_answer"))))
+    return enrich.variation(ctx, PROVIDER)
+
+
 @query("select conv_id, count(*) > 0 as ok from conversations group by 1")
 def q_variations(t: Tables) -> DataFrame:
-    """Context to a new item (the offline provider echoes JSON)."""
-    ctx = retrieval.context(t.conversations, "text", ["conv_id"], ["turn"], 3)
-    ctx = ctx.withColumn("context", F.to_json(F.struct(F.left("context", F.lit(40)).alias("question_text"), F.array(F.lit("a")).alias("options"), F.lit("1").alias("correct_answer"))))
-    return enrich.variation(ctx, PROVIDER).select("conv_id", "ok")
+    """Which conversations give a new item."""
+    return variations_of(t).select("conv_id", "ok")
+
+
+@query("""
+select conv_id, true as ok, md5(string_agg(text, chr(10) || '---' || chr(10) order by turn)) as h
+from (select *, row_number() over (partition by conv_id order by turn) as nth from conversations) where nth <= 3 group by 1
+""")
+def q_variation_texts(t: Tables) -> DataFrame:
+    """Digests of the new items' texts."""
+    return variations_of(t).select("conv_id", "ok", F.md5("item.question_text").alias("h"))
 
 
 @query("select doc_id, abs(sqrt(1) - 1) < 1e-6 as unit from documents where length(text) > 200")

@@ -1,5 +1,6 @@
 """Whole tables instead of id subsets, prefixes and literals, against plain statements of the rules."""
 
+import hashlib
 import math
 import random
 import re
@@ -64,3 +65,12 @@ def test_every_word_is_embedded(spark):
 def test_every_document_is_embedded(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert plans.QUERIES["q_hashed_embeddings_all"](spark, SF).where("size(embedding) = 16").count() == docs.count()
+
+
+def test_whole_context_is_the_prompt(spark):
+    talks = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("turn").collect():
+        talks.setdefault(r.conv_id, []).append(r.text)
+    want = {c: hashlib.md5("\n---\n".join(t[:3]).encode()).hexdigest() for c, t in talks.items()}
+    got = {r.conv_id: (r.ok, r.h) for r in plans.QUERIES["q_variation_texts"](spark, SF).collect()}
+    assert got == {c: (True, h) for c, h in want.items()}
