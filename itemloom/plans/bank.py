@@ -66,6 +66,20 @@ def q_normalize_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", textnorm.normalise(phrase, unicode=False).alias("normal"))
 
 
+PHRASE = " 0 . 30 m 10 -2 39.9 % 2 9 m 5N 2 x 10 3 sin 30 m s -2  end"
+
+
+@query()
+def q_normalize_documents(t: Tables) -> DataFrame:
+    """N1-N10 on each whole text with the constructed phrase after it; a null text stays null.
+
+    No SQL: DuckDB's expressions have no lookahead and another class of white space.
+    """
+    text = F.concat("text", F.lit(" "), F.col("doc_id").cast("string"), F.lit(PHRASE))
+    rows = t.documents.select("doc_id", textnorm.normalise(text, unicode=False).alias("normal"))
+    return rows.select("doc_id", F.length("normal").cast("long").alias("chars"), F.md5("normal").alias("h"))
+
+
 @query(r"""
 select doc_id, md5(regexp_replace(case doc_id % 5 when 0 then text || '  MathonGo x' when 1 then text || ' see HTTPS://a.b' when 2 then 'A  jee main 2024 b' else text end,
        '(?is)[ \t\n\r\f\x0b]*(?:JEE Main 2024|JEE Main 2025|MathonGo|https://|www\.).*', '')) as h
