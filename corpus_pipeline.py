@@ -12,8 +12,8 @@ from itemloom.llm.bpe import bpe_encode
 from itemloom.llm.exact_dedup import unique_texts
 from itemloom.llm.mixing import mixed
 from itemloom.llm.simhash_dedup import near_unique
-from itemloom.llm.staging import shared_folder
 from itemloom.llm.toxicity import without_toxic
+from itemloom.shared import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -58,7 +58,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are Parquet in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex[:12]}"
+    root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex[:12]}"
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -275,8 +274,7 @@ def q_box_overlap_counts(t: Tables) -> DataFrame:
 @query("select doc_id % 100 as paper_id, count(*) as n, sum(n_chars)::bigint as chars from documents group by 1")
 def q_jsonl_round_trip(t: Tables) -> DataFrame:
     """Written as JSON lines and read with an explicit schema."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="itemloom-json-")
-    path = f"{base.rstrip('/')}/jsonl-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(t.spark)}/jsonl-{uuid.uuid4().hex[:12]}"
     sinks.to_jsonl(t.documents.select((F.col("doc_id") % 100).alias("paper_id"), "text", "n_chars"), path)
     back = files.jsonl(t.spark, path, "paper_id bigint, text string, n_chars bigint", {})
     return back.groupBy("paper_id").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -268,10 +268,7 @@ def q_stream_resume(t: Tables) -> DataFrame:
     """A file stream processed to its end in batches, from a checkpoint; equal to the batch result."""
     from ..streaming.resume import file_stream, resume
 
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="itemloom-stream-")
-    import uuid
-
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex[:12]}"
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     t.events.repartition(4).write.parquet(f"{root}/in")
     query_ = resume(file_stream(t.spark, f"{root}/in", schema, 1), lambda b: b.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")), f"{root}/out", f"{root}/state")

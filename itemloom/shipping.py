@@ -10,11 +10,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _DONE: set[str] = set()
+#: Bytes of an Arrow batch on its way to a Python worker, unless the session says otherwise.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the workers, once for each application."""
+    """Send the package's sources to the workers, once for each application, and bound Arrow batches by bytes."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH_KEY, None) in (None, "67108864b", str(64 << 20)):
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     if sc.applicationId in _DONE:
         return
     home = Path(__file__).resolve().parent
