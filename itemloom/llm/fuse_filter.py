@@ -79,6 +79,20 @@ class BinaryFuseFilter:
             value = self.cells[p[0]] ^ self.cells[p[1]] ^ self.cells[p[2]] ^ self.cells[cell]
             self.cells[cell] = value ^ mark[key]
 
+    def to_bytes(self) -> bytes:
+        """The filter as it is stored: four numbers, then the cells."""
+        if not self.n:
+            return np.zeros(4, np.uint64).tobytes()
+        return np.array([self.n, self.segment, self.segments, self.seed], np.uint64).tobytes() + self.cells.tobytes()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> BinaryFuseFilter:
+        out = cls.__new__(cls)
+        head = np.frombuffer(data, np.uint64, 4)
+        out.n, (out.segment, out.segments, out.seed) = int(head[0]), head[1:]
+        out.cells = np.frombuffer(data, np.uint8, offset=32)
+        return out
+
     def __contains__(self, key: int) -> bool:
         return bool(self.contains(np.array([key], dtype=np.uint64))[0])
 

@@ -3,23 +3,14 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import shared_folder
 from ..shipping import ship
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (tests), a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="itemloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 class Staged:
     """Tables written to the shared folder by one operator call.
 
@@ -30,7 +21,7 @@ class Staged:
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
-        self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
     def put(self, df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,20 +225,52 @@ def test_mixing(spark, docs, none):
     assert (got.taken <= 3 * got["size"]).all()
     sums = got.groupby(["source_size", "target"]).taken.sum().reset_index()
     assert sorted(round(t, 6) for t in sums.target) == sorted(round(t, 6) for t in target.values())
-    assert (abs(sums.target - sums.taken) <= 0.5).all()
+    assert (abs(sums.target - sums.taken) <= 4).all()  # a block is one word here
     again = mixing.mix(docs.repartition(7)).toPandas()
     key = ["doc_id", "size", "taken"]
     assert Counter(map(tuple, got[key].astype(str).to_numpy())) == Counter(map(tuple, again[key].astype(str).to_numpy()))
     assert mixing.mix(none).count() == 0
-    copies = mixing.mixed(docs)
-    assert copies.columns == docs.columns
-    assert sum(len(WORD.findall(r.text)) for r in copies.collect()) == got.taken.sum()
+
+
+def test_schedule_decides_the_mix(docs, monkeypatch):
+    right = as_bag(mixing.mix(docs).collect())
+    with monkeypatch.context() as m:
+        m.setattr(mixing, "BROADCAST_SOURCES", 0)
+        assert as_bag(mixing.mix(docs).collect()) == right
+    with monkeypatch.context() as m:
+        m.setattr(mixing, "GOLDEN", 0.0)
+        assert as_bag(mixing.mix(docs).collect()) != right
+    coarse = mixing.mix(docs, 40).toPandas()
+    block = -(-coarse["size"].sum() // 40)
+    sums = coarse.groupby(["source_size", "target"]).taken.sum().reset_index()
+    whole = (sums.taken % block == 0) | (sums.taken == 3 * sums.source_size)
+    assert whole.all() and (abs(sums.taken - sums.target) <= 3 * block).all()
+
+
+def test_mixed_keeps_values_and_slot_order(spark, docs, none):
+    rows = corpus()
+    copies = [tuple(r) for r in mixing.mixed(docs).collect()]
+    assert all(r in rows for r in copies) and mixing.mixed(none).count() == 0
+    got = mixing.mix(docs).toPandas()
+    words = sum(len(WORD.findall(r[1])) for r in copies)
+    longest = got["size"].max()
+    assert abs(words - got.taken.sum()) <= longest * got.target.nunique()
+    assert max(Counter(r[0] for r in copies).values()) <= 6  # one doc_id stands twice in the table
+    first = {r.doc_id: r.first_slot for r in mixing.mix(docs).collect() if r.first_slot is not None}
+    seen = list(dict.fromkeys(r[0] for r in copies if r[0] is not None and got[got.doc_id == r[0]].shape[0] == 1))
+    assert [first[i] for i in seen] == sorted(first[i] for i in seen)
+    clash = spark.createDataFrame([(i, f"a b c {i}", "s", "mine", "t") for i in range(9)], "doc_id long, text string, source string, m_id string, sk string")
+    assert sorted(map(tuple, mixing.mixed(clash).collect())) == [(i, f"a b c {i}", "s", "mine", "t") for i in range(9)]
 
 
 def test_schedule_is_low_discrepancy(spark):
-    goals = spark.createDataFrame([("sa", 10.0), ("sb", 60.0), ("sc", 30.0), ("sd", 0.0)], "sk string, target double")
-    slots = mixing.schedule(goals, 1000).orderBy("slot").collect()
-    assert [r.slot for r in slots] == list(range(1000))
+    from itemloom.llm.staging import Staged
+
+    goals = spark.createDataFrame([("sa", 100, 100.0), ("sb", 600, 600.0), ("sc", 300, 300.0), ("sd", 0, 0.0)], "sk string, source_size long, target double")
+    slots, sources, block = mixing.schedule(goals, Staged(spark, "test"))
+    slots = slots.orderBy("slot").collect()
+    assert block == 1 and [r.slot for r in slots] == list(range(1000))
+    assert {r.sk: r.take for r in sources.collect()} == dict(Counter(r.sk for r in slots)) | {"sd": 0}
     for n in (10, 100, 1000):
         c = Counter(r.sk for r in slots[:n])
         assert all(abs(c[s] - n * p) <= 3 for s, p in (("sa", 0.1), ("sb", 0.6), ("sc", 0.3)))
@@ -354,7 +387,7 @@ def test_sharding_of_one_huge_group(spark):
     assert len(got) == 24 and got.b.max() <= 1.05 * got.b.mean() and got.b.min() >= 0.95 * got.b.mean()
 
 
-def test_exact_dedup(docs, none):
+def test_exact_dedup(docs, none, monkeypatch):
     rows = corpus()
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in rows]
     ids = defaultdict(list)
@@ -370,16 +403,49 @@ def test_exact_dedup(docs, none):
         want[(r[0], keep, len(ids[t]), first, hashlib.sha256(t.encode()).hexdigest())] += 1
     for part in (None, F.lit(True), F.lit(False)):
         assert as_bag(exact_dedup.exact_dedup(docs, part).collect()) == want
+    # beyond the broadcast bound the same steps are shuffles
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", 0)
+    assert as_bag(exact_dedup.exact_dedup(docs).collect()) == want
+    assert exact_dedup.unique_texts(docs).count() == len(ids)
     assert exact_dedup.exact_dedup(none).count() == 0
+
+
+def test_unique_texts_keeps_columns_and_values(spark, docs, none):
+    rows = corpus()
     kept = exact_dedup.unique_texts(docs)
-    assert kept.columns == docs.columns and kept.count() == len(ids)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    assert kept.columns == docs.columns and exact_dedup.unique_texts(none).count() == 0
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted(norm(r[1]) for r in got) == sorted({norm(r[1]) for r in rows}) and all(r in rows for r in got)
+    names = "doc_id long, text string, k_id string, digest string, keep string, row string, g_old string"
+    clash = spark.createDataFrame([(1, "a", "mine", "d", "k", "r", "o"), (2, "a", "other", "d", "k", "r", "o"), (3, "b", "mine", "x", "y", "z", "w"), (None, "c", *"vwxyz"), (None, "c", *"vwxyz")], names)
+    assert sorted(map(tuple, exact_dedup.unique_texts(clash).where("doc_id is not null").collect())) == [(1, "a", "mine", "d", "k", "r", "o"), (3, "b", "mine", "x", "y", "z", "w")]
+    assert exact_dedup.unique_texts(clash).where("doc_id is null").count() == 1
+
+
+def test_filter_and_byte_check_decide(docs, monkeypatch):
+    """A filter that misses, or a check that always fails, leaves the two sides apart; so does a digest that collides."""
+    right = as_bag(exact_dedup.exact_dedup(docs).collect())
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, "marked", lambda filters, batch, buckets: pa.array(np.zeros(batch.num_rows, dtype=bool)))
+        m.setattr(exact_dedup, "BROADCAST_BYTES", 0)
+        assert as_bag(exact_dedup.exact_dedup(docs).collect()) != right
+    with monkeypatch.context() as m:
+        plain = exact_dedup.confirmed
+        m.setattr(exact_dedup, "confirmed", lambda shared, d: plain(shared, d).where("false"))
+        assert as_bag(exact_dedup.exact_dedup(docs).collect()) != right
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, "digest_of", lambda text: F.encode(F.least(F.length(text), F.lit(1)).cast("string"), "UTF-8"))
+        two = docs.where("text like '% tail' or doc_id = 7")
+        out = exact_dedup.exact_dedup(two, F.col("doc_id") == 7).collect()
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in out) == sorted((r.doc_id, r.doc_id, 1) for r in out) and len(out) == 2
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 17, 1000, 60_000])
 def test_fuse_filter_has_no_false_negatives(n):
     rng = np.random.default_rng(n)
     keys = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-    held = fuse_filter.BinaryFuseFilter(keys)
+    held = fuse_filter.BinaryFuseFilter.from_bytes(fuse_filter.BinaryFuseFilter(keys).to_bytes())
     assert held.contains(keys).all()
     assert held.contains(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)).mean() < 0.01
 
