@@ -22,11 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .words import chunks, text_buffers
 
-#: Different white-space-free pieces that a worker remembers between batches.
-REMEMBERED = 300_000
-#: Pieces encoded at once.
-BATCH_PIECES = 200_000
+#: Bytes that a worker remembers of pieces it has encoded; beyond it all are forgotten.
+REMEMBERED_BYTES = 64 << 20
+#: Python's own bytes for a remembered piece (three byte strings, a tuple, a place in the dictionary).
+ENTRY_BYTES = 260
+#: Text handled at once; longer texts go through in parts cut at white space.
+SLICE_BYTES = 2 << 20
+#: Different pieces encoded at once.
+BATCH_PIECES = 50_000
+BLANK = regex.compile(rb"[\x20\x09-\x0D]+")
 #: Characters for which the quick path splits and folds exactly as the library does; others take the library's own steps.
 PLAIN = regex.compile(r"[\x00-ԯḀ-῿ -⁤₠-₿぀-ゖ゠-ヿ一-龥가-힣]*")
 
@@ -68,6 +74,7 @@ class PairIndexBPE:
         self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
         self.unletter = {c: b for b, c in letters.items()}
         self.entries: dict[bytes, tuple[bytes, bytes]] = {}
+        self.held = 0
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where there is none."""
@@ -176,11 +183,13 @@ class PairIndexBPE:
                     self.entries[p] = ready[ps[0]]
                 else:
                     self.entries[p] = (b"".join([ready[x][0] for x in ps]), b"".join([ready[x][1] for x in ps]))
+                self.held += ENTRY_BYTES + len(p) + sum(map(len, self.entries[p]))
 
     def encode(self, texts: list[list[bytes]]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, decoded UTF-8) of texts given as their white-space-free pieces."""
-        if len(self.entries) > REMEMBERED:
+        if self.held > REMEMBERED_BYTES:
             self.entries.clear()
+            self.held = 0
         known = self.entries
         self.learn(list({p for t in texts for p in t if p not in known}))
         for t in texts:
@@ -198,25 +207,61 @@ def loaded(path: str) -> PairIndexBPE:
     return _LOADED[path]
 
 
+def parts_of(text: bytes, limit: int) -> Iterator[bytes]:
+    """The text in parts of about ``limit`` bytes, cut at white space alone."""
+    lo = 0
+    while len(text) - lo > limit:
+        cut = BLANK.search(text, lo + limit)
+        if cut is None:
+            break
+        yield text[lo : cut.start()]
+        lo = cut.end()
+    yield text[lo:]
+
+
+class Digested:
+    """Of one text: number of ids and the digests of ids and decoded text, fed part by part."""
+
+    def __init__(self, whole: bool):
+        self.n, self.some = 0, False
+        self.ids, self.text = hashlib.sha256(), hashlib.sha256()
+        self.kept: tuple[list[bytes], list[bytes]] | None = ([], []) if whole else None
+
+    def feed(self, ids: bytes, text: bytes) -> None:
+        if not ids:
+            return
+        if self.some:
+            text = b" " + text
+        self.some = True
+        self.n += len(ids) // 4
+        self.ids.update(ids)
+        self.text.update(text)
+        if self.kept:
+            self.kept[0].append(ids)
+            self.kept[1].append(text)
+
+
 def encoder(path: str, whole: bool, extra: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Slices of whole texts of about ``SLICE_BYTES``, so memory follows bytes and not rows; a longer text goes through in parts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for big in batches:
-            for i in range(0, big.num_rows, 2000):
-                batch = big.slice(i, 2000)
-                texts = [(t.as_py() or "").encode().split() for t in batch.column("text")]
-                n, ids_hash, text_hash, ids_out, text_out = [], [], [], [], []
-                for ids, text in bpe.encode(texts):
-                    n.append(len(ids) // 4)
-                    ids_hash.append(hashlib.sha256(ids).hexdigest())
-                    text_hash.append(hashlib.sha256(text).hexdigest())
-                    if whole:
-                        ids_out.append(np.frombuffer(ids, "<u4").astype(np.int32))
-                        text_out.append(text.decode())
-                cols = [batch.column(c) for c in extra] + [pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+            raw, off = text_buffers(big.column("text"))
+            for lo, hi in chunks(off, SLICE_BYTES):
+                texts = [raw[off[i] : off[i + 1]].tobytes() for i in range(lo, hi)]
+                out = [Digested(whole) for _ in texts]
+                if len(texts) == 1:
+                    for part in parts_of(texts[0], SLICE_BYTES):
+                        out[0].feed(*next(bpe.encode([part.split()])))
+                else:
+                    for one, (ids, text) in zip(out, bpe.encode([t.split() for t in texts]), strict=True):
+                        one.feed(ids, text)
+                batch = big.slice(lo, hi - lo)
+                cols = [batch.column(c) for c in extra] + [pa.array([x.n for x in out], pa.int64()), pa.array([x.ids.hexdigest() for x in out], pa.string()), pa.array([x.text.hexdigest() for x in out], pa.string())]
                 names = [*extra, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if whole:
-                    cols += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(text_out, pa.string())]
+                    cols += [pa.array([np.frombuffer(b"".join(x.kept[0]), "<u4").astype(np.int32) for x in out], pa.list_(pa.int32())), pa.array([b"".join(x.kept[1]).decode() for x in out], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -230,7 +275,9 @@ def bpe_encode(docs: DataFrame, path: str, whole: bool = False) -> DataFrame:
     also the ids and the decoded text.
 
     A null or empty text has no tokens.  White space separates pieces and is
-    dropped, so texts of white space alone have no tokens either.  A null
+    dropped, so texts of white space alone have no tokens either.  Very long
+    texts are read in parts cut at white space, which changes no token; only
+    their digests grow, so memory does not follow a text's length.  A null
     doc_id stays null; repeated rows give repeated rows; an empty table gives
     an empty one; other columns are not read.
     """

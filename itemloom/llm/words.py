@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text handled at once by the vectorised code; one document is never cut.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Odd multipliers of the polynomial hashes (fixed values, any odd number will do).
 BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
