@@ -355,13 +355,41 @@ def test_neighbours(spark):
     assert ann.nearest(df.where("vec_id < 0")).count() == 0
 
 
-def test_multi_index_retrieves_the_whole_ball():
+def test_neighbours_of_a_repeated_vec_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [0.2, 0.9]), (1, [0.9, 0.1]), (2, [-1.0, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(0, 1, 1, 0.9), (0, 2, 2, -1.0)]
+
+
+def test_multi_index_retrieves_the_whole_ball_from_posted_codes_alone():
     rng = np.random.default_rng(6)
     codes = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
-    index = ann.MultiIndex(codes)
-    for radius in (0, 7, 20, 31):
-        want = np.bitwise_count(codes[:20, None] ^ codes[None, :]) <= radius
-        assert (index.within(codes[:20], radius) == want).all()
+    for radius in (0, 7, 20, 31, 64):
+        index = ann.MultiIndex(codes)
+        limit = np.full(20, radius)
+        limit[3] = max(0, radius - 5)
+        q, c = index.within(codes[:20], limit)
+        want = np.bitwise_count(codes[:20, None] ^ codes[None, :]) <= limit[:, None]
+        assert len(q) == want.sum() and want[q, c].all()
+        assert radius > 7 or index.compared <= 0.1 * 20 * 300
+
+
+@pytest.mark.parametrize(("noise", "share"), [(0.05, 0.15), (0.3, 0.3)])
+def test_neighbours_in_clusters_visit_little(noise, share):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 32))
+    x = (centres[rng.integers(0, 40, 8000)] + noise * rng.normal(size=(8000, 32))).astype(np.float32)
+    sample = x[:2000].astype(np.float64)
+    codes = ann.learn(sample, float(np.linalg.norm(x, axis=1).max()))
+    shard = ann.Shard(np.arange(8000), x, codes)
+    q_ids = np.arange(0, 8000, 200)
+    q = x[q_ids].astype(np.float64)
+    found = shard.search(q_ids, q, ann.radii(q, sample, codes, 8000, 20).astype(np.int64), 20).to_pydict()
+    score = q @ x.T.astype(np.float64)
+    score[np.arange(len(q)), q_ids] = -np.inf
+    want = {(int(i), int(v)) for i, row in zip(q_ids, np.argsort(-score, axis=1)[:, :20], strict=True) for v in row}
+    assert len(want & set(zip(found["query_id"], found["vec_id"], strict=True))) >= 0.9 * len(want)
+    assert shard.index.compared <= share * len(q) * 8000
 
 
 def test_sharding(spark, docs, none):
