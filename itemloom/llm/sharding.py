@@ -38,9 +38,26 @@ def keys(docs: DataFrame) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
+        F.monotonically_increasing_id().alias("uid"),
     )
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ``g``, a different one for each: hash of doc_id and of the place among rows of that id and text.
+
+    Places are counted in two levels (parts that one task has written, then
+    inside a part), so rows that all lack an id are many window partitions.
+    They are the same set however the rows are dealt.
+    """
+    rows = rows.withColumns({"same": F.coalesce("doc_id", F.lit(-(1 << 63))), "cell": F.shiftright("uid", 33)})
+    by = ["h", "text_crc32", "size", "same"]
+    before = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy(*by, "cell").agg(F.count("*").alias("c")).select(*by, "cell", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"))
+    nth = F.row_number().over(Window.partitionBy(*by, "cell").orderBy("uid"))
+    rows = rows.withColumn("nth", nth).join(first, [*by, "cell"])
+    return rows.withColumn("g", F.xxhash64("doc_id", F.col("first") + F.col("nth"))).drop("same", "cell", "nth", "first")
+
+
 KEY = ["h", "text_crc32", "size", "g"]
 
 
@@ -98,8 +115,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     0 in each shard) and grown_shard (null: this law moves rows when the
     number of shards changes).  Reruns agree.
 
-    A null text has 0 bytes and the crc32 of nothing.  Null doc_ids and
-    repeated rows are rows like any other.  With fewer rows than shards some
+    A null text has 0 bytes and the crc32 of nothing; a very long text is one
+    unit, so no shard can be smaller than the longest.  Null doc_ids and
+    repeated rows are rows like any other, also where a huge group has no
+    others.  With fewer rows than shards some
     shards stay empty; an empty table gives an empty table; other columns are
     not read.
     """
@@ -112,7 +131,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     # at most WHOLE * shards groups by bytes and as many by rows
     huge = groups.where((F.col("c") * F.col("size") > fair / WHOLE) | (F.col("c") > max(1.0, n / (WHOLE * shards)))).select("h", "text_crc32", "size", F.lit(True).alias("apart"))
     rows = rows.join(F.broadcast(huge), ["h", "text_crc32", "size"], "left")
-    rows = rows.withColumn("g", F.when(F.col("apart"), F.xxhash64("doc_id")).otherwise(F.lit(0))).drop("apart")
+    apart = numbered(rows.where("apart").drop("apart")).select("doc_id", *KEY)
+    rows = rows.where("apart is null").select("doc_id", *KEY[:3], F.lit(0).cast("long").alias("g")).unionByName(apart)
+    rows = staged.put(rows)
     units = staged.put(rows.groupBy(*KEY).agg(F.sum("size").alias("b")))
     is_large = F.col("b") > fair / FINE
     placed_large, loads = dealt(units.where(is_large).collect(), shards)
@@ -140,7 +161,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     placed = small.select(*KEY, F.least(full, F.lit(shards - 1)).alias("shard"))
     if placed_large:
         placed = placed.unionByName(spark.createDataFrame(placed_large, "h long, text_crc32 long, size long, g long, shard int"))
-    rows = staged.put(rows.join(placed, KEY).withColumn("part", F.pmod(F.xxhash64("doc_id", "h"), F.lit(PARTS))))
+    rows = staged.put(rows.join(placed, KEY).withColumn("part", F.pmod(F.xxhash64("doc_id", "h", "g"), F.lit(PARTS))))
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("c"))
     over = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "part", F.coalesce(F.sum("c").over(over), F.lit(0)).alias("first"))

@@ -409,10 +409,18 @@ def test_sharding(spark, docs, none):
     assert sharding.shard_by_bytes(docs.limit(2)).count() == 2
 
 
-def test_sharding_of_one_huge_group(spark):
-    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1200, "same text here").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
-    got = sharding.shard_by_bytes(df).groupBy("shard").agg(F.sum("size").alias("b")).toPandas()
-    assert len(got) == 24 and got.b.max() <= 1.05 * got.b.mean() and got.b.min() >= 0.95 * got.b.mean()
+@pytest.mark.parametrize("ids", ["id", "case when id >= 1200 then id end", "case when id < 1200 then 7 else id end"])
+def test_sharding_of_one_huge_group(spark, ids):
+    """A huge group with ids of its own, with none, and with one id throughout."""
+    df = spark.range(3000).select(F.expr(ids).alias("doc_id"), F.when(F.col("id") < 1200, "same text here " * 20).otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    got = sharding.shard_by_bytes(df).toPandas()
+    b = got.groupby("shard")["size"].sum()
+    assert len(b) == 24 and b.max() <= 1.05 * b.mean() and b.min() >= 0.95 * b.mean()
+    again = sharding.shard_by_bytes(df.repartition(5)).toPandas()
+    key = ["doc_id", "shard", "slot", "text_crc32"]
+    assert sorted(map(str, got[key].to_numpy().tolist())) == sorted(map(str, again[key].to_numpy().tolist()))
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
 
 
 def test_exact_dedup(docs, none, monkeypatch):
