@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import HEAVY, spread_join
 from .staging import Staged
 
 
@@ -31,7 +32,7 @@ def local_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[up[other]]
 
 
-def connected_components(edges: DataFrame, staged: Staged, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, staged: Staged) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns u, v); root is the component's smallest node.
 
     Each round joins every node with the smallest neighbour known so far and is
@@ -43,12 +44,11 @@ def connected_components(edges: DataFrame, staged: Staged, rounds: int = 60) ->
 
     now = staged.put(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = state(now)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = low_kept = staged.put(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c"))
+        hubs = low.where(F.col("c") * HEAVY > 2 * before[0])
+        large = spread_join(both.where("v > u"), low.drop("c"), ["u"], hubs).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(now.groupBy("u").agg(F.min("v").alias("v"))).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -56,12 +56,10 @@ def connected_components(edges: DataFrame, staged: Staged, rounds: int = 60) ->
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         new = staged.put(small)
         after = state(new)
-        staged.drop(now)
+        staged.drop(now, low_kept)
         now = new
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

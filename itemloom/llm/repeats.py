@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import HEAVY, spread_join
 from .staging import Staged
 from .words import Words, anchors, chunks, mix, text_buffers, windows_hash
 
@@ -31,6 +32,8 @@ from .words import Words, anchors, chunks, mix, text_buffers, windows_hash
 SHARD_WORDS = 400_000
 #: An anchor with more different segments is routed window by window.
 SPREAD = 4_000
+#: Places of one window that a task remembers before it answers them.
+PLACES = 4_096
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -130,7 +133,9 @@ def matched(match: Callable, window: int, by_anchor: bool) -> Callable[[Iterator
             found = match(*args, key=np.unique([x[0] for x in shard], return_inverse=True)[1])
         else:
             found = match(*args)
-        rows = [(a, s, int(mask) << shift) for mask, x in zip(found.tolist(), shard, strict=True) if mask for a, s, shift in x[4]]
+        return batch_of([(a, s, int(mask) << shift) for mask, x in zip(found.tolist(), shard, strict=True) if mask for a, s, shift in x[4]])
+
+    def batch_of(rows: list) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "s", "mask"])
 
@@ -149,7 +154,12 @@ def matched(match: Callable, window: int, by_anchor: bool) -> Callable[[Iterator
                 key = (m, *ws)
                 if key in seen:
                     seen[key][2] += weight
-                    seen[key][4].append((a, s, shift))
+                    places = seen[key][4]
+                    places.append((a, s, shift))
+                    if len(places) > PLACES and len(ws) == window:
+                        # a single window that stands at two places is sure to be reported
+                        yield batch_of([(x, y, 1 << z) for x, y, z in places])
+                        places.clear()
                 else:
                     seen[key] = entry = [r, ws, weight, m, [(a, s, shift)]]
                     shard.append(entry)
@@ -171,10 +181,11 @@ def repeated(docs: DataFrame, window: int, k: int, match: Callable, by_anchor: b
     staged = Staged(spark, "repeats")
     docs = keyed(docs)
     rows = staged.put(docs.mapInArrow(segment_rows(window, k), SEGMENT))
-    again = rows.groupBy("a").agg(F.count("*").alias("c")).where("c >= 2").select("a")
-    some = staged.put(rows.join(again, "a", "left_semi"))
-    staged.drop(rows)
-    each = some.groupBy("a", "s").agg(F.count("*").alias("weight"), F.min(F.struct("k_id", "k_text", "w0", "n", "m")).alias("r"))
+    total = rows.count()
+    again = staged.put(rows.groupBy("a").agg(F.count("*").alias("c")).where("c >= 2"))
+    some = staged.put(spread_join(rows, again.select("a"), ["a"], again.where(F.col("c") * HEAVY > total)))
+    staged.drop(rows, again)
+    each = staged.put(some.groupBy("a", "s").agg(F.count("*").alias("weight"), F.min(F.struct("k_id", "k_text", "w0", "n", "m")).alias("r")))
     spread = some.groupBy("a").agg(F.approx_count_distinct("s", 0.05).alias("c")).where(F.col("c") > SPREAD).select("a", F.lit(True).alias("spread"))
     wanted = (
         each.join(spread, "a", "left")
@@ -192,9 +203,10 @@ def repeated(docs: DataFrame, window: int, k: int, match: Callable, by_anchor: b
         .groupBy("a", "s").agg(F.bit_or("mask").alias("mask"))
     )
     found = staged.put(found)
-    hits = some.join(found, ["a", "s"]).groupBy("k_id", "k_text").agg(F.collect_set(F.struct("w0", "mask")).alias("hits"))
+    joined = spread_join(some, found, ["a", "s"], each.where(F.col("weight") * HEAVY > total))
+    hits = joined.groupBy("k_id", "k_text").agg(F.collect_set(F.struct("w0", "mask")).alias("hits"))
     hits = staged.put(hits)
-    staged.drop(some, found)
+    staged.drop(some, found, each)
     return staged, hits
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, local_forest
+from .skew import HEAVY, spread_join
 from .staging import Staged
 
 RADIUS = 3
@@ -174,15 +175,20 @@ def simhash_dedup(docs: DataFrame, count: int = 3) -> DataFrame:
     staged = Staged(spark, "simhash")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = staged.put(rows.mapInArrow(fingerprint_rows, "doc_id long, fp long"))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("smallest"))
-    balls = nodes.select("fp", F.explode(variants(F.col("fp"), count)).alias("key"))
+    total = rows.count()
+    nodes = staged.put(rows.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n")))
+    # dealt anew, since each fingerprint becomes well over a hundred rows
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    balls = nodes.select("fp").repartition(wide, "fp").select("fp", F.explode(variants(F.col("fp"), count)).alias("key"))
     edges = balls.repartition("key").mapInArrow(links, "u long, v long")
     roots = connected_components(edges, staged)
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "smallest", "n", F.coalesce("root", "fp").alias("root"))
     named = staged.put(named)
-    least = named.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = named.groupBy("root").agg(F.min("smallest").alias("component_id"), F.count("*").alias("c"))
+    members = spread_join(named, least.drop("c"), ["root"], least.where(F.col("c") * HEAVY > total))
+    members = staged.put(members.select("fp", "component_id", "n"))
+    out = spread_join(rows, members.drop("n"), ["fp"], members.where(F.col("n") * HEAVY > total))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_unique(docs: DataFrame, count: int = 3) -> DataFrame:

@@ -73,6 +73,7 @@ def test_spread_anchors_change_nothing(docs, monkeypatch):
     from itemloom.llm import repeats
 
     monkeypatch.setattr(repeats, "SPREAD", 0)
+    monkeypatch.setattr(repeats, "PLACES", 1)
     got = substring_dedup.substring_dedup(docs, 35).select("doc_id", "n_words", "n_removed", "kept_sha256")
     assert as_bag(got.collect()) == removed_by_brute_force(corpus(), 35)
 
@@ -192,6 +193,15 @@ def test_ball_hashing_misses_no_link():
     assert all((a == b).all() for a, b in zip(want, got, strict=True))
 
 
+def test_heavy_keys_lose_no_row(spark):
+    from itemloom.llm.skew import spread_join
+
+    left = spark.range(5000).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), "id")
+    right = spark.createDataFrame([(i, f"n{i}") for i in range(0, 13)], "k long, name string")
+    heavy = spark.createDataFrame([(0,), (4,)], "k long")
+    assert as_bag(spread_join(left, right, ["k"], heavy).select("k", "id", "name").collect()) == as_bag(left.join(right, "k").collect())
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     from itemloom.llm.staging import Staged
 
