@@ -1,15 +1,19 @@
 """Operator 5, a quality classifier by co-training.
 
-One classifier sees only a text's content (shares of letter cases, marks and
-digits, repetition of words and lines), the other only its metadata (source,
-language, stated length).  In each round both label the unlabelled rows that
-they are surest of for the other one.  At the end both are calibrated on
-labelled rows that neither saw, and their logits are combined.
+One classifier sees only a text's content (its words, hashed; shares of letter
+cases, marks and digits; repetition of words and lines), the other only its
+metadata (source, language, stated length).  In each round both label the
+unlabelled rows that they are surest of for the other one, searched among all
+unlabelled rows.  At the end both are calibrated on labelled rows that neither
+saw, and their logits are combined.
+
+Whole texts are read once, into a row of figures each; rounds and scoring read
+those.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,19 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .toxicity import SAMPLE_BYTES, held_out, labelled_sample
+from .staging import Staged
+from .toxicity import held_out, labelled_sample
 from .words import Words, chunks, text_buffers
 
-#: Labelled and unlabelled rows used for training at most, those of smallest hash of doc_id.
+#: Labelled rows used for training at most, those of smallest hash of doc_id.
 SAMPLE = 4_000
-POOL = 4_000
 ROUNDS = 4
 #: Rows that a classifier labels for the other in one round, at this confidence or more.
 GIVEN = 200
 SURE = 0.95
 BINS = 12
 META = 256
+#: Buckets of hashed words, and what a word's share of a text counts for.
+LEXICAL = 64
+WEIGHT = 10.0
+#: Content figures besides the hashed words.
+FIGURES = 9
 
 _UPPER, _DIGIT, _MARK, _LINE = (np.zeros(256, dtype=bool) for _ in range(4))
 _UPPER[ord("A") : ord("Z") + 1] = True
@@ -57,17 +65,26 @@ def content(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     length = np.bincount(words.doc, weights=words.ends - words.starts, minlength=n_docs) / some
     # different words against what a text of this length usually has
     rich = np.log1p(different) / np.log1p(some)
-    return np.stack([*share, same, different / some, rich, length, np.log1p(count)], axis=1)
+    figures = np.stack([*share, same, different / some, rich, length, np.log1p(count)], axis=1)
+    bucket = words.doc * LEXICAL + (h % np.uint64(LEXICAL)).astype(np.int64)
+    lexical = np.bincount(bucket, minlength=n_docs * LEXICAL).reshape(n_docs, LEXICAL) / some[:, None]
+    return np.concatenate([figures, WEIGHT * lexical], axis=1).astype(np.float32)
 
 
 def metadata(source: list, lang: list, n_chars: list) -> np.ndarray:
-    """Hashed indicators of source, language and length, one row for each document."""
+    """Hashed places of source, language and length, one row for each document."""
     import zlib
 
-    out = np.zeros((len(source), META))
+    out = np.zeros((len(source), 3), dtype=np.int32)
     for i, (s, g, n) in enumerate(zip(source, lang, n_chars, strict=True)):
-        for x in (f"s{s}", f"l{g}", f"n{-1 if n is None else int(n).bit_length()}"):
-            out[i, zlib.crc32(x.encode()) % META] += 1
+        out[i] = [zlib.crc32(x.encode()) % META for x in (f"s{s}", f"l{g}", f"n{-1 if n is None else int(n).bit_length()}")]
+    return out
+
+
+def indicators(places: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(places), META))
+    for j in range(places.shape[1]):
+        out[np.arange(len(places)), places[:, j]] += 1
     return out
 
 
@@ -95,8 +112,8 @@ class View:
 
     def spread(self, x: np.ndarray) -> np.ndarray:
         if self.edges is None:
-            return x
-        cols = []
+            return indicators(x)
+        cols = [x[:, len(self.edges) :]]
         for j, e in enumerate(self.edges):
             cols.append((np.searchsorted(e, x[:, j], side="right")[:, None] == np.arange(len(e) + 1)[None, :]).astype(float))
         return np.concatenate(cols, axis=1)
@@ -118,30 +135,56 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(z @ self.blend[:-1] + self.blend[-1], -50, 50)))
 
 
-def cotrain(xs: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS) -> CoTrained:
-    """Both views trained from labelled rows (xs, y) and unlabelled ones."""
+    def sure(self, xs: list[np.ndarray], v: int) -> np.ndarray:
+        """How likely view v holds quality 1 to be."""
+        return 1 / (1 + np.exp(-np.clip(self.views[v].logits(xs[v]), -50, 50)))
+
+
+def read(table: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
+    """Both views of rows of figures."""
+    out = []
+    for name, width, kind in (("content", FIGURES + LEXICAL, np.float64), ("meta", 3, np.int64)):
+        col = table.column(name)
+        col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+        out.append(col.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width))
+    return out
+
+
+def surest(pool: DataFrame, model: CoTrained, v: int, taken: set[int]) -> pa.Table:
+    """The ``GIVEN`` rows of the whole pool that view v is surest of, with its labels as y."""
+    sent = pool.sparkSession.sparkContext.broadcast((model, np.array(sorted(taken), dtype=np.int64)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            model, gone = sent.value
+            p = model.sure(read(batch), v)
+            keep = (np.maximum(p, 1 - p) >= SURE) & ~np.isin(batch.column("doc_id").to_numpy(), gone)
+            cols = [*batch.columns, pa.array(np.maximum(p, 1 - p)), pa.array((p >= 0.5).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "sureness", "y"]).filter(pa.array(keep))
+
+    found = pool.mapInArrow(score, f"{ROW}, sureness double, y int")
+    return found.orderBy(F.desc("sureness"), F.xxhash64("doc_id"), "doc_id").limit(GIVEN).toArrow()
+
+
+def cotrain(xs: list[np.ndarray], y: np.ndarray, pool: DataFrame, rounds: int = ROUNDS) -> CoTrained:
+    """Both views trained from labelled rows (xs, y) and all unlabelled ones (pool)."""
     steps = np.linspace(0, 1, BINS + 1)[1:-1]
-    edges = [np.unique(np.quantile(np.concatenate([xs[0][:, j], pool[0][:, j]]), steps)) if len(y) else np.zeros(0) for j in range(xs[0].shape[1])]
-    views = [View(edges, np.zeros(sum(len(e) + 1 for e in edges) + 1)), View(None, np.zeros(xs[1].shape[1] + 1))]
+    edges = [np.unique(np.quantile(xs[0][:, j], steps)) if len(y) else np.zeros(0) for j in range(FIGURES)]
+    views = [View(edges, np.zeros(sum(len(e) + 1 for e in edges) + LEXICAL + 1)), View(None, np.zeros(META + 1))]
     if len(np.unique(y)) < 2:
         only = 50.0 if len(y) and y[0] == 1 else -50.0
         return CoTrained(views, np.array([0.0, 0.0, only]))
     check = np.arange(len(y)) % 4 == 3
-    given: list[tuple[list[int], list[int]]] = [([], []), ([], [])]
-    free = np.ones(len(pool[0]), dtype=bool)
+    given = [([xs[v][~check]], [y[~check]]) for v in (0, 1)]
+    taken: set[int] = set()
     for r in range(rounds + 1):
         for v in (0, 1):
-            rows, labels = given[v]
-            views[v].fit(np.concatenate([xs[v][~check], pool[v][rows]]), np.concatenate([y[~check], labels]))
-        if r == rounds:
-            break
-        for v in (0, 1):
-            p = 1 / (1 + np.exp(-views[v].logits(pool[v])))
-            sure = np.flatnonzero(free & (np.maximum(p, 1 - p) >= SURE))
-            pick = sure[np.argsort(-np.maximum(p, 1 - p)[sure], kind="stable")][:GIVEN]
-            given[1 - v][0].extend(pick.tolist())
-            given[1 - v][1].extend((p[pick] >= 0.5).astype(int).tolist())
-            free[pick] = False
+            views[v].fit(np.concatenate(given[v][0]), np.concatenate(given[v][1]))
+        for v in (0, 1) if r < rounds else ():
+            got = surest(pool, CoTrained(views, np.zeros(3)), v, taken)
+            given[1 - v][0].append(read(got)[1 - v])
+            given[1 - v][1].append(got.column("y").to_numpy().astype(np.int64))
+            taken |= set(got.column("doc_id").to_pylist())
     z = np.stack([views[v].logits(xs[v][check]) for v in (0, 1)], axis=1)
     scale = [logistic(z[:, v : v + 1], y[check], 0.1) for v in (0, 1)]
     calm = np.stack([z[:, v] * scale[v][0] + scale[v][1] for v in (0, 1)], axis=1)
@@ -150,47 +193,47 @@ def cotrain(xs: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds:
     return CoTrained(views, blend)
 
 
-def both_views(table: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
-    column = table.column("text")
-    raw, off = text_buffers(column.cast(pa.large_string()) if isinstance(column, pa.ChunkedArray) else column)
-    texts = np.concatenate([np.zeros((0, 9)), *[content(raw, off[lo : hi + 1]) for lo, hi in chunks(off)]])
-    return [texts, metadata(*[table.column(c).to_pylist() for c in ("source", "lang", "n_chars")])]
+ROW = "doc_id long, held_out boolean, content array<float>, meta array<int>"
+
 
+def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw, off = text_buffers(batch.column("text"))
+        texts = np.concatenate([np.zeros((0, FIGURES + LEXICAL), np.float32), *[content(raw, off[lo : hi + 1]) for lo, hi in chunks(off)]])
+        places = metadata(*[batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")])
+        arrays = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (texts, places)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *arrays], names=["doc_id", "held_out", "content", "meta"])
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> CoTrained:
-    small = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
-    order = (F.xxhash64("doc_id"), "doc_id")
-    known = labelled_sample(small, labels, "quality", sample).orderBy(*order, F.xxhash64("text")).toArrow()
-    taken = labels.select("doc_id").where("doc_id is not null").distinct()
-    ids = docs.select("doc_id").where("doc_id is not null").join(taken, "doc_id", "left_anti").distinct().orderBy(*order).limit(pool)
-    free = small.join(F.broadcast(ids), "doc_id").orderBy(*order, F.xxhash64("text")).toArrow()
-    return cotrain(both_views(known), np.array(known.column("y").to_pylist(), dtype=np.int64), both_views(free))
+
+def fit_quality(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CoTrained:
+    """From rows of figures."""
+    known = labelled_sample(rows, labels, "quality", sample).orderBy(F.xxhash64("doc_id"), "doc_id", F.hash("content")).toArrow()
+    named = labels.select("doc_id").where("doc_id is not null").distinct()
+    pool = rows.where("doc_id is not null").join(named, "doc_id", "left_anti").select(*rows.columns)
+    return cotrain(read(known), np.array(known.column("y").to_pylist(), dtype=np.int64), pool)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Score every whole document; returns doc_id, held_out, score (higher: quality 1 likelier) and predicted.
 
     Labels of rows with crc32(doc_id) % 3 = 1 are never learnt from.  Trained
-    on at most ``SAMPLE`` labelled and ``POOL`` unlabelled rows.
-
-    A null or empty text has no content figures and is scored by them all the
-    same; null source, lang or n_chars are values of their own.  A null doc_id
-    is never held out.  Without both labels every score is 0 (or 1).  Repeated
-    label rows count once.  Repeated rows give repeated rows, an empty table
-    an empty one; further columns are not read.
+    on at most ``SAMPLE`` labelled rows; unlabelled rows all take part.
+
+    A null or empty text has no words and is scored by its other figures all
+    the same; a very long one is read whole.  Null source, lang or n_chars are
+    values of their own.  A null doc_id is never held out nor learnt from.
+    Without both labels every score is 0 (or 1).  Repeated label rows count
+    once.  Repeated rows give repeated rows, an empty table an empty one;
+    further columns are not read.
     """
-    ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
-    model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels))
-    rows = docs.withColumns({"held_out": held_out(), "text": F.coalesce("text", F.lit(""))})
-    scored = rows.mapInArrow(quality_rows(model), "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    staged = Staged(docs.sparkSession, "quality")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
+    rows = staged.put(docs.withColumn("held_out", held_out()).mapInArrow(figures, ROW))
+    model = docs.sparkSession.sparkContext.broadcast(fit_quality(rows, labels))
 
-
-def quality_rows(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = model.value.scores(both_views(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64())], names=["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(model.value.scores(read(batch)), pa.float64())], names=["doc_id", "held_out", "score"])
 
-    return run
+    scored = rows.mapInArrow(score, "doc_id long, held_out boolean, score double")
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

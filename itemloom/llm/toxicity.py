@@ -27,8 +27,8 @@ BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 #: Labelled rows used for training at most, those of smallest hash of doc_id.
 SAMPLE = 5_000
-#: Bytes of a text used for training at most; longer ones are scored but not learnt from.
-SAMPLE_BYTES = 32_768
+#: Characters of a text that training reads; of a longer one, a stretch at a place that its doc_id's hash names.
+SAMPLE_CHARS = 32_768
 #: Buckets in fewer training texts than this share, or telling the labels apart less surely, are not learnt.
 LEAST_SHARE = 0.003
 LEAST_Z = 4.0
@@ -230,7 +230,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int)
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
     rows = labelled_sample(docs.select("doc_id", "text"), labels, label, sample)
-    rows = rows.where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).toArrow()
+    spare = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
+    stretch = F.substr("text", (F.pmod(F.xxhash64("doc_id"), spare + 1) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    rows = rows.withColumn("text", F.coalesce(stretch, F.lit(""))).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).toArrow()
     texts, y = rows.column("text").to_pylist(), np.array(rows.column("y").to_pylist(), dtype=np.int64)
     check = np.arange(len(y)) % 5 == 4
     part = lambda keep: (bag_of([t for t, k in zip(texts, keep, strict=True) if k]), y[keep])
@@ -257,7 +259,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
     lang, source and doc_id are never inputs of a score.
 
     A null or empty text, or one without letters or digits, gets the score of
-    the intercept alone.  A null doc_id is never held out and never labelled.
+    the intercept alone.  Very long texts are scored whole; of one in the
+    sample, training reads a stretch of ``SAMPLE_CHARS``.  A null doc_id is never held out and never labelled.
     Without both labels in the sample every score is 0 (or 1, if all are 1).
     Repeated label rows count once, as toxic if any says so.  Repeated rows
     give repeated rows; an empty table an empty one; other columns are not read.
