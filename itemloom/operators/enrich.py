@@ -7,17 +7,20 @@ validation and fallbacks are Columns around the call.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.latex import fix_latex, item_error
 from ..functions.prompts import annotation_prompt, correct_text, model_answer, parse_answers, parse_or_repair, prompt_row
-from .sampling import replaced, sample_n
+from ..shared import shared_folder
+from .sampling import not_done, replaced, sample_n
 
 TAG = "struct<id:int,subject:string,topic:string,difficulty:string>"
 ACTION = "struct<id:int,action:string,reason:string>"
@@ -33,6 +36,13 @@ class Provider(Protocol):
     def complete(self, prompt: str) -> str: ...
 
 
+def provider_named(name: str) -> Provider:
+    """The provider of a name; an unknown one is an error."""
+    if name not in PROVIDERS:
+        raise ValueError(f"unknown provider {name!r}; known are {', '.join(sorted(PROVIDERS))}")
+    return PROVIDERS[name]()
+
+
 class OfflineProvider:
     """Answers by rule: tags and actions for JSON batches, the item itself for a rewrite."""
 
@@ -126,7 +136,28 @@ def transform_questions(selected: DataFrame, pool: DataFrame, provider: Provider
     """E5: classify, replace what is discarded from the pool, transform; without a provider the input comes back."""
     if provider is None:
         return selected
-    return transformed(replaced(classified(selected, provider, key), pool, seed, key, strata), provider)
+    judged = staged(classified(selected, provider, key), "actions")
+    return transformed(replaced(judged, pool, seed, key, strata), provider)
+
+
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared folder, so a provider is asked once however often the rows are read."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def tagged_into(items: DataFrame, provider: Provider, key: list[str], out: str) -> DataFrame:
+    """Tag what ``out`` does not hold yet and append it; items of failed batches stay open for the next call."""
+    spark = items.sparkSession
+    try:
+        done = spark.read.parquet(out)
+        items = not_done(items, done, key)
+    except AnalysisException:
+        pass  # the first call
+    rows = staged(tagged(items, provider, key), "tags")
+    rows.where("tag_status = 'ok'").write.mode("append").parquet(out)
+    return spark.read.schema(rows.schema).parquet(out)
 
 
 def annotated(items: DataFrame, provider: Provider, sample: int | None = None, seed: int = 0, key: tuple[str, ...] = ("question_id",)) -> DataFrame:
@@ -157,3 +188,7 @@ def solutions(items: DataFrame, provider: Provider) -> DataFrame:
     """A worked solution as text; an error is text, too."""
     rows = completed(items.withColumn("prompt", F.concat(F.lit("SOLVE\n"), F.col("question_text"))), provider)
     return rows.withColumn("solution", F.coalesce("response", F.lit("Error: no solution"))).drop("prompt", "response")
+
+
+#: Providers by name; register one here to use it from the command line.
+PROVIDERS: dict[str, type] = {"offline": OfflineProvider}

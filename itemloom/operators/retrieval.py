@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,6 +96,27 @@ def hashed_embedding(text: str | Column, size: int = 64) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: unit_bins(h, size))
 
 
+def embedded(rows: DataFrame, text: str, encoder: Callable[[list[str]], list[list[float]]] | None = None, out: str = "embedding") -> DataFrame:
+    """Rows with the vector of their text, from an encoder of lists of texts or, without one, by hashing."""
+    if encoder is None:
+        return rows.withColumn(out, hashed_embedding(text))
+
+    @F.pandas_udf("array<float>")
+    def encode(texts: pd.Series) -> pd.Series:
+        return pd.Series([[float(x) for x in v] for v in encoder(texts.fillna("").tolist())], index=texts.index)
+
+    return rows.withColumn(out, encode(F.col(text)))
+
+
+def search_text(store: DataFrame, text: str, k: int = 5, encoder: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """L5, L6 for a query in words: the k rows of the store nearest to its vector, from the encoder that made the store."""
+    if encoder is None:
+        vector = store.sparkSession.range(1).select(hashed_embedding(F.lit(text)).alias("v")).first()["v"]
+    else:
+        vector = encoder([text])[0]
+    return nearest_to(store, list(vector), k)
+
+
 def unit_bins(h: Column, size: int) -> Column:
     """Hashes summed up by bin and sign, at unit length."""
     bins = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(h, lambda x: F.pmod(x, F.lit(size)) == i), F.lit(0.0), lambda s, x: s + F.when(F.pmod(F.shiftright(x, 8), F.lit(2)) == 0, 1.0).otherwise(-1.0)))

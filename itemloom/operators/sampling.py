@@ -79,17 +79,20 @@ def pool_without(pool: DataFrame, selected: DataFrame, keys: list[str]) -> DataF
 def replaced(selected: DataFrame, pool: DataFrame, seed: int, keys: list[str], strata: list[str]) -> DataFrame:
     """The i-th discarded row of a stratum takes the i-th spare row; without one it stays. All then count as 'rephrase'.
 
-    Ranked inside strata, so no window runs over the whole table.
+    Ranked inside strata, so no window runs over the whole table.  A row
+    without an action is kept.  ``selected`` is read twice (its rows, and its
+    keys against the pool): stage it where making it twice would differ.
     """
-    gone = selected.where("action = 'discard'")
     spare = pool_without(pool, selected, keys)
     nth = lambda salt: F.row_number().over(Window.partitionBy(*strata).orderBy(shuffled(salt, *keys), *keys))
-    left = gone.withColumn("nth", nth(f"{seed}d"))
+    gone = F.col("action").eqNullSafe(F.lit("discard"))
+    among = F.row_number().over(Window.partitionBy(*strata, gone).orderBy(shuffled(f"{seed}d", *keys), *keys))
+    left = selected.withColumn("nth", F.when(gone, among))
     right = spare.select(*strata, nth(f"{seed}p").alias("nth"), F.struct(*[c for c in pool.columns]).alias("new"))
     filled = left.join(right, [*strata, "nth"], "left").withColumn("replaced", F.col("new").isNotNull())
+    action = F.when(gone, F.lit("rephrase")).otherwise(F.col("action")).alias("action")
     cols = [F.coalesce(F.col("new")[c], F.col(c)).alias(c) if c in pool.columns else F.col(c) for c in selected.columns if c != "action"]
-    out = filled.select(*cols, F.lit("rephrase").alias("action"), "replaced")
-    return selected.where("action <> 'discard'").withColumn("replaced", F.lit(False)).unionByName(out)
+    return filled.select(*cols, action, "replaced")
 
 
 def zipped(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rewrite import as_column
@@ -83,6 +83,26 @@ def markdown_quality(text: str | Column) -> Column:
     return F.struct(n("# ").alias("headings"), n(r"\$").alias("dollars"), n(r"\$[^$]+\$").alias("formulas"), n(r"\*\*Q").alias("questions"), n("�|\\(cid:|□").alias("garbled"))
 
 
+def final_consolidation(items: DataFrame, extracted: DataFrame) -> DataFrame:
+    """The answer key takes the place of the items' answers (J4), then one row per paper."""
+    from .answers import overridden
+
+    return consolidated(overridden(items, extracted))
+
+
+def progress(done: DataFrame, totals: DataFrame, every: int = 10) -> DataFrame:
+    """Done (run, nth, seconds: what this row took) against totals (run, total).
+
+    A row for each ``every``-th and the last one of a run: rows done, elapsed
+    seconds, rows a second and seconds left at that rate.
+    """
+    upto = Window.partitionBy("run").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    rows = done.withColumns({"n": F.count("*").over(upto), "elapsed": F.sum("seconds").over(upto)}).join(totals, "run")
+    rows = rows.where((F.col("n") % every == 0) | (F.col("n") == F.col("total")))
+    speed = F.try_divide(F.col("n"), F.col("elapsed"))
+    return rows.select("run", "n", "elapsed", speed.alias("rate"), F.try_divide(F.col("total") - F.col("n"), speed).alias("eta"))
+
+
 def observed(items: DataFrame, name: str = "progress") -> tuple[DataFrame, object]:
     """Row counts seen while a job runs, through ``Observation``."""
     from pyspark.sql import Observation

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, prompts, textnorm
-from ..functions.rewrite import any_of
 from ..operators import answers, classify, filters, sampling, stats
-from .registry import Tables, query
+from .registry import WHITE, Tables, query
 
 # Keyword tables that occur in the test documents (fixed values for these queries).
 WORDS_A = ("the", "tion", "idiot", "scum")
@@ -26,7 +25,7 @@ def count_sql(words: tuple[str, ...], col: str = "text") -> str:
 
 @query(f"""
 with d as (
-  select source, regexp_replace(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]{{2,}}', ' ', 'g'), '^[ \\t\\n\\r\\f\\x0b]+|[ \\t\\n\\r\\f\\x0b]+$', '', 'g') as t, doc_id from documents),
+  select source, regexp_replace(regexp_replace(text, '[{WHITE}]{{2,}}', ' ', 'g'), '^[{WHITE}]+|[{WHITE}]+$', '', 'g') as t, doc_id from documents),
 j as (
   select d.source, d.t, l.quality,
          case when {count_sql(WORDS_A, 't')} > {count_sql(WORDS_B, 't')} then 'A' when {count_sql(WORDS_B, 't')} > 0 then 'B' else 'C' end as subject
@@ -39,7 +38,7 @@ from j group by source
 """)
 def q_bank_statistics(t: Tables) -> DataFrame:
     """Flagship: normalise, classify, attach labels, sum up by source."""
-    d = t.documents.select("doc_id", "source", textnorm.collapse_spaces("text", unicode=False).alias("t"))
+    d = t.documents.select("doc_id", "source", textnorm.collapse_spaces("text").alias("t"))
     d = d.withColumn("subject", classify.by_score("t", WORDS_A, WORDS_B, ("A", "B", "C"))).join(t.labels.select("doc_id", "quality"), "doc_id", "left")
     n = [F.count_if(F.col("subject") == s).alias(f"n_{s.lower()}") for s in "ABC"]
     return d.groupBy("source").agg(F.count("*").alias("n"), F.count("quality").alias("with_answer"), stats.rate(F.count("quality"), F.count("*"), 1).alias("coverage"), *n, F.sum(F.length("t").cast("long")).alias("chars"))
@@ -63,7 +62,7 @@ select doc_id, trim(regexp_replace(t, '\s{2,}', ' ', 'g')) as normal from h
 def q_normalize_text(t: Tables) -> DataFrame:
     """N1-N7, N9, N10 on a constructed phrase in each row."""
     phrase = F.concat(F.col("doc_id").cast("string"), F.lit(" 0 . 30 m 10 -2 39.9 % 2 9 m 5N 2 x 10 3 sin 30 m s -2  end"))
-    return t.documents.select("doc_id", textnorm.normalise(phrase, unicode=False).alias("normal"))
+    return t.documents.select("doc_id", textnorm.normalise(phrase).alias("normal"))
 
 
 PHRASE = " 0 . 30 m 10 -2 39.9 % 2 9 m 5N 2 x 10 3 sin 30 m s -2  end"
@@ -80,17 +79,16 @@ def q_normalize_documents(t: Tables) -> DataFrame:
     return rows.select("doc_id", F.length("normal").cast("long").alias("chars"), F.md5("normal").alias("h"))
 
 
-@query(r"""
+@query(rf"""
 select doc_id, md5(regexp_replace(case doc_id % 5 when 0 then text || '  MathonGo x' when 1 then text || ' see HTTPS://a.b' when 2 then 'A  jee main 2024 b' else text end,
-       '(?is)[ \t\n\r\f\x0b]*(?:JEE Main 2024|JEE Main 2025|MathonGo|https://|www\.).*', '')) as h
+       '(?is)[{WHITE}]*(?:JEE Main 2024|JEE Main 2025|MathonGo|https://|www\.).*', '')) as h
 from documents
 """)
 def q_strip_junk(t: Tables) -> DataFrame:
     """Text cut at the earliest marker."""
     k = F.col("doc_id") % 5
     marked = F.when(k == 0, F.concat("text", F.lit("  MathonGo x"))).when(k == 1, F.concat("text", F.lit(" see HTTPS://a.b"))).when(k == 2, F.lit("A  jee main 2024 b")).otherwise(F.col("text"))
-    cut = F.regexp_replace(marked, r"(?is)[ \t\n\r\f\x0b]*(?:" + any_of(textnorm.JUNK_MARKERS, False) + ").*", "")
-    return t.documents.select("doc_id", F.md5(cut).alias("h"))
+    return t.documents.select("doc_id", F.md5(textnorm.strip_junk(marked)).alias("h"))
 
 
 @query(r"""

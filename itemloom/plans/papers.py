@@ -201,16 +201,42 @@ def q_render_questions(t: Tables) -> DataFrame:
     return papers(t).select("paper_id", F.col("n").cast("long").alias("number"), render.item_latex("stem", "options", F.lit("mcq")).alias("latex"))
 
 
-@query()
+PAPER_SQL = f"""
+with {PAPERS},
+items as (
+  select paper_id, n, stem, o1, o2, o3, o4, answer, case when event_id % 3 = 0 then 'integer' else 'mcq' end as kind,
+         case n % 3 when 0 then 'Physics' when 1 then 'Chemistry' else 'Mathematics' end as subject, case when event_id % 2 = 0 then 'easy' else 'hard' end as difficulty,
+         md5('11|' || paper_id || '|' || n) as h from papers),
+cells as (select *, row_number() over (partition by subject, kind, difficulty order by h, paper_id, n) as c from items),
+chosen as (select *, case kind when 'mcq' then 0 else 1 end as part, case subject when 'Physics' then 0 when 'Chemistry' then 1 else 2 end as place from cells where c <= case kind when 'mcq' then 6 else 3 end),
+ranked as (select *, row_number() over (partition by place, part order by h, paper_id, n) as nth from chosen),
+numbered as (select *, row_number() over (order by place, part, nth) as number from ranked where nth <= case part when 0 then 20 else 10 end),
+lined as (select *, lag(place) over (order by number) as last, row_number() over (partition by part order by number) as rn from numbered),
+texts as (
+  select number, part, case when last is distinct from place then '\\section*{{' || subject || '}}' || chr(10) else '' end || '\\question' || chr(10) || stem || chr(10)
+    || case part when 0 then '\\begin{{choices}}' || chr(10) || '  \\choice ' || o1 || chr(10) || '  \\choice ' || o2 || chr(10) || '  \\choice ' || o3 || chr(10) || '  \\choice ' || o4 || chr(10) || '\\end{{choices}}' || chr(10) else '' end as body,
+    number || '. ' || answer || case when rn % 10 = 0 then ' \\\\' || chr(10) else ' & ' end as cell,
+    '\\textbf{{' || number || '.}} ' || stem || chr(10) as worked
+  from lined)
+select '\\documentclass{{exam}}' || chr(10) || '\\usepackage{{amsmath}}' || chr(10) || '\\begin{{document}}' || chr(10) || '\\title{{Practice Paper}}' || chr(10) || '\\begin{{questions}}' || chr(10)
+  || string_agg(body, '' order by number) || '\\end{{questions}}' || chr(10)
+  || '\\section*{{Answers: multiple choice}}' || chr(10) || '\\begin{{tabular}}{{llllllllll}}' || chr(10) || coalesce(string_agg(cell, '' order by number) filter (where part = 0), '') || chr(10) || '\\end{{tabular}}' || chr(10)
+  || '\\section*{{Answers: integer}}' || chr(10) || '\\begin{{tabular}}{{llllllllll}}' || chr(10) || coalesce(string_agg(cell, '' order by number) filter (where part = 1), '') || chr(10) || '\\end{{tabular}}' || chr(10)
+  || '\\section*{{Solutions}}' || chr(10) || string_agg(worked, '' order by number) || '\\end{{document}}' || chr(10) as document, count(*) as n_questions
+from texts
+"""
+
+
+@query(PAPER_SQL)
 def q_generate_paper(t: Tables) -> DataFrame:
-    """One rendered paper (a single document; no SQL)."""
+    """One rendered paper with its answer tables and solutions."""
     k = F.col("n") % 3
     items = papers(t).select(
         "paper_id", F.col("n").alias("question_number"), F.col("stem").alias("question_text"), "options", F.when(F.col("event_id") % 3 == 0, "integer").otherwise("mcq").alias("question_type"),
         F.col("answer").cast("int").alias("correct_index"), F.lit(None).cast("int").alias("correct_answer"), F.when(k == 0, "Physics").when(k == 1, "Chemistry").otherwise("Mathematics").alias("subject"),
         F.lit("General").alias("topic"), F.when(F.col("event_id") % 2 == 0, "easy").otherwise("hard").alias("difficulty"), F.lit(2024).alias("year"),
     )
-    return render.generate_paper(items, "balanced", 11)
+    return render.generate_paper(items, "balanced", 11, solver=OfflineProvider())
 
 
 @query("""
@@ -250,7 +276,7 @@ select doc_id, '[M L^-2 T^-1] ' || doc_id || ' [x^-3] - 2' as formula from docum
 """)
 def q_dimensional_formulas(t: Tables) -> DataFrame:
     """Rewrites inside brackets only."""
-    return t.documents.select("doc_id", textnorm.dimensional_formulas(F.format_string("[M L − 2 T - 1] %d [x – 3] - 2", "doc_id"), False).alias("formula"))
+    return t.documents.select("doc_id", textnorm.dimensional_formulas(F.format_string("[M L − 2 T - 1] %d [x – 3] - 2", "doc_id")).alias("formula"))
 
 
 @query("""
@@ -298,11 +324,13 @@ def q_sessions(t: Tables) -> DataFrame:
 
 
 @query("""
-select l_orderkey as paper_id, count(*) as n, coalesce(avg(case when l_linenumber = 1 then l_discount end), 0) as overall from lineitem group by 1 having count(*) > 3
+select round(coalesce(avg(l_discount), 0), 6) as overall, (select round(coalesce(avg(l_discount), 0), 6) from lineitem where l_linenumber < 0) as nothing from lineitem
 """)
 def q_average_confidence(t: Tables) -> DataFrame:
     """A7."""
-    return t.lineitem.groupBy(F.col("l_orderkey").alias("paper_id")).agg(F.count("*").alias("n"), F.coalesce(F.avg(F.when(F.col("l_linenumber") == 1, F.col("l_discount"))), F.lit(0.0)).alias("overall")).where("n > 3")
+    items = t.lineitem.select("l_linenumber", F.col("l_discount").alias("extraction_confidence"))
+    none = stats.average_confidence(items.where("l_linenumber < 0")).first()["overall_confidence"]
+    return stats.average_confidence(items).select(F.round("overall_confidence", 6).alias("overall"), F.round(F.lit(none), 6).alias("nothing"))
 
 
 @query("""

@@ -11,6 +11,10 @@ from pyspark.sql import Window
 from . import ORACLES, QUERIES
 
 
+#: White space as Unicode names it, inside a DuckDB character class.
+WHITE = r"\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 def query(sql: str | None = None) -> Callable:
     """Register a function (tables) -> DataFrame under its name, with its SQL."""
 

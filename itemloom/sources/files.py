@@ -36,7 +36,7 @@ def jsonl(spark: SparkSession, path: str, schema: str = schemas.TAGGED, defaults
 
 def jsonl_with_ordinal(spark: SparkSession, path: str, schema: str = schemas.TAGGED) -> DataFrame:
     """Adds ``_idx``, the physical line (blank lines count), from 0. For single files; use natural keys at scale."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])).toDF("line string, _idx long")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("_idx", "line")).withColumn("_idx", F.col("_idx").cast("long"))
     return lines.where("trim(line) <> ''").select("_idx", F.from_json("line", schema).alias("r")).select("_idx", "r.*")
 
 
@@ -82,6 +82,21 @@ def discovered(spark: SparkSession, path: str, glob: str, limit: int | None = No
     return rows.limit(limit) if limit is not None else rows
 
 
+def paper_folders(spark: SparkSession, path: str, prefix: str, holds: str) -> DataFrame:
+    """Folders below ``path`` whose name begins with ``prefix`` and that hold a file named by the pattern ``holds``, sorted."""
+    files = discovered(spark, path, holds).select(F.element_at(F.split("path", "/"), -2).alias("folder"))
+    return files.where(F.startswith("folder", F.lit(prefix))).distinct().orderBy("folder")
+
+
+def answer_key_file(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """P20: (paper_id, question_number, answer) from extraction files with text_blocks; a file that can't be read gives no row."""
+    from ..operators.answers import answer_key, combined_text
+
+    # blocks stay text, since a block's own text may be an object or a string
+    rows = documents_json(spark, path, "paper_id string, text_blocks array<string>", glob).where("_corrupt_record is null")
+    return answer_key(rows.select("paper_id", combined_text(F.to_json("text_blocks")).alias("text")))
+
+
 def converted(spark: SparkSession, path: str, glob: str, convert: Callable[[str, bytes], list[tuple[int, int, str]]]) -> DataFrame:
     """Files through an external converter that gives (pos, page, text) spans; a file that fails has an error row."""
 

@@ -17,9 +17,10 @@ def to_jsonl(items: DataFrame, path: str) -> None:
 
 
 def to_stats_json(stats: DataFrame, path: str) -> None:
-    """Totals and per-paper rows as one JSON document."""
-    one = stats.agg(F.struct(F.count("*").alias("rows")).alias("totals"), F.collect_list(F.struct(*stats.columns)).alias("per_paper"))
-    one.coalesce(1).write.mode("overwrite").json(path)
+    """Totals as one JSON object below ``totals``, a line for each paper below ``per_paper``."""
+    numbers = [f.name for f in stats.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")]
+    stats.agg(F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in numbers]).coalesce(1).write.mode("overwrite").json(f"{path}/totals")
+    stats.write.mode("overwrite").json(f"{path}/per_paper")
 
 
 def to_paper_folders(items: DataFrame, path: str) -> None:
