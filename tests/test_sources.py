@@ -58,7 +58,7 @@ def test_sinks(spark, tmp_path):
     sinks.to_paper_folders(items, str(tmp_path / "folders"))
     assert spark.read.json(str(tmp_path / "folders")).count() == 3
     sinks.to_stats_json(items, str(tmp_path / "stats"))
-    assert spark.read.json(str(tmp_path / "stats")).first().totals.rows == 3
+    assert spark.read.json(str(tmp_path / "stats" / "totals")).first().rows == 3 and spark.read.json(str(tmp_path / "stats" / "per_paper")).count() == 3
     sinks.to_consolidated_json(items, str(tmp_path / "one"))
     sinks.to_vector_store(spark.createDataFrame([(1, [0.5], "m")], schemas.VECTORS), str(tmp_path / "vectors"))
     assert files.cached(spark, str(tmp_path / "vectors"), lambda: 1 / 0).count() == 1
