@@ -123,7 +123,9 @@ def escape_latex(c: str | Column) -> Column:
         full = reduce(lambda y, kv: F.replace(y, F.lit(kv[0]), F.lit(kv[1])), ESCAPES, x)
         return F.when(F.contains(x, F.lit("\\")) | F.contains(x, F.lit("$")), light).otherwise(full)
 
-    return let(fix_unicode(c), escaped)
+    # plain text has nothing to rewrite: no symbol beyond ASCII, no command, no power
+    fixed = lambda x: F.when(x.rlike(r"[^\x00-\x7F]|[\\^]"), fix_unicode(x)).otherwise(x)
+    return let(let(c, fixed), escaped)
 
 
 def decode_escapes(c: Column) -> Column:
