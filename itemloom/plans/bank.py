@@ -44,36 +44,31 @@ def q_bank_statistics(t: Tables) -> DataFrame:
     return d.groupBy("source").agg(F.count("*").alias("n"), F.count("quality").alias("with_answer"), stats.rate(F.count("quality"), F.count("*"), 1).alias("coverage"), *n, F.sum(F.length("t").cast("long")).alias("chars"))
 
 
-SAMPLES = " || ' 0 . 30 m 10 -2 39.9 % 2 9 m 5N 2 x 10 3 sin 30 m s -2'"
+PHRASE = " 0 . 30 m 10 -2 39.9 % 2 9 m 5N 2 x 10 3 sin 30 m s -2  end"
 
 
-@query(r"""
-with s as (select doc_id, regexp_replace(left(text, 0) || doc_id || ' 0 . 30 m 10 -2 39.9 % 2 9 m 5N 2 x 10 3 sin 30 m s -2  end', '−', '-', 'g') as t from documents),
-a as (select doc_id, regexp_replace(t, '(\d)\s*\.\s*(\d)', '\1.\2', 'g') as t from s),
-b as (select doc_id, regexp_replace(t, '(\d(?:\.\d+)?)\s*([A-Za-z](?:[A-Za-z])?)\b', '\1 \2', 'g') as t from a),
-c as (select doc_id, regexp_replace(t, '\b([1-9])\s+([1-9])\s+(m|R|N|J|kg|L|C|V|A|T|H|F)\b', '\1/\2 \3', 'g') as t from b),
-d as (select doc_id, regexp_replace(t, '(?i)(\d+(?:\.\d+)?)\s*[x×]\s*10\s*(?:\^\s*)?(\d+)', '\1 x 10^\2', 'g') as t from c),
-e as (select doc_id, regexp_replace(t, '10\s*[-−]\s*(\d+)', '10^-\1', 'g') as t from d),
-f as (select doc_id, regexp_replace(t, '(m|s|kg|N|J|W|Hz|Pa|C|V|F|Ω|ohm)\s+[-−]\s*(\d+)', '\1^-\2', 'g') as t from e),
-g as (select doc_id, regexp_replace(t, '\b(sin|cos|tan|cot|sec|cosec)\s+([-−]?\d+(?:\.\d+)?)', '\1(\2)', 'g') as t from f),
-h as (select doc_id, regexp_replace(t, '(\d(?:\.\d+)?)\s*%', '\1%', 'g') as t from g)
-select doc_id, trim(regexp_replace(t, '\s{2,}', ' ', 'g')) as normal from h
-""")
-def q_normalize_text(t: Tables) -> DataFrame:
-    """N1-N7, N9, N10 on a constructed phrase in each row."""
-    phrase = F.concat(F.col("doc_id").cast("string"), F.lit(" 0 . 30 m 10 -2 39.9 % 2 9 m 5N 2 x 10 3 sin 30 m s -2  end"))
-    return t.documents.select("doc_id", textnorm.normalise(phrase).alias("normal"))
+#: White space and line ends of the Spark side, for SQL.
+BLANK, INLINE = r"[ \t\n\x0b\f\r]", r"[^\n\r\x{85}\x{2028}\x{2029}]"
 
 
-PHRASE = " 0 . 30 m 10 -2 39.9 % 2 9 m 5N 2 x 10 3 sin 30 m s -2  end"
-
-
-@query()
+@query(rf"""
+with s as (select doc_id, translate(text || ' ' || doc_id || '{PHRASE}', '−𝑔𝑇𝑅𝜃𝜋𝐿𝑀𝑡', '-gTRθπLMt') as t from documents),
+a as (select doc_id, regexp_replace(t, '(\d){BLANK}*\.{BLANK}*(\d)', '\1.\2', 'g') as t from s),
+b as (select doc_id, regexp_replace(t, '(\d(?:\.\d+)?){BLANK}*([A-Za-z](?:[A-Za-z])?)\b', '\1 \2', 'g') as t from a),
+c as (select doc_id, regexp_replace(t, '\b([1-9]){BLANK}+([1-9]){BLANK}+(m|R|N|J|kg|L|C|V|A|T|H|F)\b', '\1/\2 \3', 'g') as t from b),
+c2 as (select doc_id, regexp_replace(t, '\b([1-9]\d?){BLANK}+([1-9]\d?)({BLANK}*[,;:)])', '\1/\2\3', 'g') as t from c),
+d as (select doc_id, regexp_replace(t, '(?i)(\d+(?:\.\d+)?){BLANK}*[x×]{BLANK}*10{BLANK}*(?:\^{BLANK}*)?(\d+)', '\1 x 10^\2', 'g') as t from c2),
+e as (select doc_id, regexp_replace(t, '10{BLANK}*[-−]{BLANK}*(\d+)', '10^-\1', 'g') as t from d),
+f as (select doc_id, regexp_replace(t, '(m|s|kg|N|J|W|Hz|Pa|C|V|F|Ω|ohm){BLANK}+[-−]{BLANK}*(\d+)', '\1^-\2', 'g') as t from e),
+p as (select doc_id, string_split_regex(t, '\[{INLINE}*?\]') as outside, list_transform(regexp_extract_all(t, '\[{INLINE}*?\]'), lambda x: regexp_replace(x, '{BLANK}+[−–-]{BLANK}+(\d+)', '^-\1', 'g')) as inside from f),
+g as (select doc_id, array_to_string(list_transform(list_zip(outside, list_append(inside, '')), lambda x: x[1] || x[2]), '') as t from p),
+h as (select doc_id, regexp_replace(t, '\b(sin|cos|tan|cot|sec|cosec){BLANK}+([-−]?\d+(?:\.\d+)?)', '\1(\2)', 'g') as t from g),
+i as (select doc_id, regexp_replace(t, '(\d(?:\.\d+)?){BLANK}*%', '\1%', 'g') as t from h),
+j as (select doc_id, regexp_replace(regexp_replace(t, '{BLANK}{{2,}}', ' ', 'g'), '^{BLANK}+|{BLANK}+$', '', 'g') as t from i)
+select doc_id, length(t) as chars, md5(t) as h from j
+""")
 def q_normalize_documents(t: Tables) -> DataFrame:
-    """N1-N10 on each whole text with the constructed phrase after it; a null text stays null.
-
-    No SQL: DuckDB's expressions have no lookahead and another class of white space.
-    """
+    """N1-N10 on each whole text with the constructed phrase after it; a null text stays null."""
     text = F.concat("text", F.lit(" "), F.col("doc_id").cast("string"), F.lit(PHRASE))
     rows = t.documents.select("doc_id", textnorm.normalise(text, unicode=False).alias("normal"))
     return rows.select("doc_id", F.length("normal").cast("long").alias("chars"), F.md5("normal").alias("h"))

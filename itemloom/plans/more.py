@@ -218,12 +218,6 @@ def variations_of(t: Tables) -> DataFrame:
     return enrich.variation(ctx, PROVIDER)
 
 
-@query("select conv_id, count(*) > 0 as ok from conversations group by 1")
-def q_variations(t: Tables) -> DataFrame:
-    """Which conversations give a new item."""
-    return variations_of(t).select("conv_id", "ok")
-
-
 @query("""
 select conv_id, true as ok, md5(string_agg(text, chr(10) || '---' || chr(10) order by turn)) as h
 from (select *, row_number() over (partition by conv_id order by turn) as nth from conversations) where nth <= 3 group by 1
@@ -233,34 +227,12 @@ def q_variation_texts(t: Tables) -> DataFrame:
     return variations_of(t).select("conv_id", "ok", F.md5("item.question_text").alias("h"))
 
 
-@query("select doc_id, abs(sqrt(1) - 1) < 1e-6 as unit from documents where length(text) > 200")
-def q_hashed_embeddings(t: Tables) -> DataFrame:
-    """Offline embeddings have unit length."""
-    e = retrieval.hashed_embedding(retrieval.store_text(F.col("source"), F.left("text", F.lit(200))), 16)
-    rows = t.documents.where(F.length("text") > 200).select("doc_id", e.alias("e"))
-    norm = F.aggregate("e", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return rows.select("doc_id", (F.abs(F.sqrt(norm) - 1) < 1e-6).alias("unit"))
-
-
 @query()
 def q_hashed_embeddings_all(t: Tables) -> DataFrame:
     """E11 on every whole text (xxhash64 has no SQL here); empty and null texts are embedded by their topic alone."""
     return t.documents.select("doc_id", retrieval.hashed_embedding(retrieval.store_text("source", "text"), 16).alias("embedding"))
 
 
-@query("""
-with b as (select p_partkey as id, p_size::double as x0, p_size + 5.0 as x1, (p_partkey % 10)::double as y0, p_partkey % 10 + 3.0 as y1 from part where p_partkey <= 60)
-select a.id as a, b.id as b from b a join b on a.id < b.id where not (a.x1 < b.x0 or b.x1 < a.x0 or a.y1 < b.y0 or b.y1 < a.y0)
-""")
-def q_box_overlaps(t: Tables) -> DataFrame:
-    """A theta join of sixty boxes, met through grid cells instead of all pairs."""
-    k = F.col("p_partkey")
-    b = t.part.where("p_partkey <= 60").select(k.alias("id"), F.struct(F.col("p_size").cast("double").alias("x0"), (F.col("p_size") + 5.0).alias("x1"), (k % 10).cast("double").alias("y0"), (k % 10 + 3.0).alias("y1")).alias("box"))
-    cells = b.withColumn("cell", F.explode(F.sequence(F.floor(F.col("box.x0") / 10), F.floor(F.col("box.x1") / 10))))
-    pairs = cells.alias("l").join(cells.alias("r"), F.col("l.cell") == F.col("r.cell")).where("l.id < r.id")
-    return pairs.where(retrieval.boxes_overlap(F.col("l.box"), F.col("r.box"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-
-
 @query("""
 with b as (select p_partkey as id, p_size::double as x0, p_size + 5.0 as x1, (p_partkey % 10)::double as y0, p_partkey % 10 + 3.0 as y1 from part)
 select a.id, count(*) - 1 as n from b a join b on not (a.x1 < b.x0 or b.x1 < a.x0 or a.y1 < b.y0 or b.y1 < a.y0) group by 1
@@ -298,14 +270,6 @@ def q_sparse_records(t: Tables) -> DataFrame:
     return rows.select("doc_id", classify.type_constant().alias("kind"), prompts.without_empty(F.col("r"), {"a": "value", "b": "value", "c": "array"}).alias("sparse"))
 
 
-@query("select vec_id, label from embeddings where vec_id < 40 and vec_id % 2 = 0")
-def q_zip_and_lookup(t: Tables) -> DataFrame:
-    """Positional pairs by ordinal, ids looked up in the store."""
-    ids = t.embeddings.where("vec_id < 40").select("vec_id")
-    even = ids.where("vec_id % 2 = 0").withColumn("x", F.lit(1))
-    return sampling.looked_up(sampling.zipped(ids, even, ["vec_id"]), t.embeddings).select("vec_id", "label")
-
-
 @query("select vec_id, label from embeddings where vec_id % 2 = 0")
 def q_zip_and_lookup_all(t: Tables) -> DataFrame:
     """J12, J13 on every vector id."""

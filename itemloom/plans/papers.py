@@ -124,19 +124,6 @@ def q_knn_single(t: Tables) -> DataFrame:
     return retrieval.nearest_to(t.embeddings, q, 10).select("vec_id", F.round("d2", 4).alias("d2"))
 
 
-@query("""
-with q as (select vec_id as query_id, embedding as q from embeddings where vec_id < 5),
-d as (select query_id, vec_id, list_sum(list_transform(list_zip(embedding, q), lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double))) as d2 from embeddings, q),
-r as (select *, row_number() over (partition by query_id order by d2, vec_id) as rank from d)
-select r.query_id, r.vec_id, r.rank::bigint as rank, e.label from r join embeddings e using (vec_id) where r.rank <= 5
-""")
-def q_knn_batch(t: Tables) -> DataFrame:
-    """Five stated queries against all vectors, then their documents."""
-    q = t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    hits = retrieval.nearest_batch(t.embeddings, q, 5)
-    return hits.join(t.embeddings.select("vec_id", "label"), "vec_id").select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), "label")
-
-
 @query("""
 with q as (select vec_id as query_id, embedding as q from embeddings where vec_id % 20 = 0),
 d as (select query_id, vec_id, list_sum(list_transform(list_zip(embedding, q), lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double))) as d2 from embeddings, q),
