@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import shared_folder
 from ..shipping import ship
+from .memory import give_back
 
 
 class Staged:
@@ -41,5 +41,4 @@ class Staged:
         self.free()
 
     def free(self) -> None:
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        give_back(self.spark)

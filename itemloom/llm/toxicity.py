@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .memory import give_back
 from .words import Words, chunks, mix, text_buffers
 
 BUCKETS = 1 << 17
@@ -236,7 +237,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     texts, y = rows.column("text").to_pylist(), np.array(rows.column("y").to_pylist(), dtype=np.int64)
     check = np.arange(len(y)) % 5 == 4
     part = lambda keep: (bag_of([t for t, k in zip(texts, keep, strict=True) if k]), y[keep])
-    return train(*part(~check), *part(check))
+    sets = [*part(~check), *part(check)]
+    del rows, texts
+    give_back(docs.sparkSession)
+    model = train(*sets)
+    del sets
+    give_back()
+    return model
 
 
 def scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
