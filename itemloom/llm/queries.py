@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import nearest
 from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
+from .lexical import SEARCH_SQL, search
 from .mixing import MIX_SQL, mix
 from .quality import quality
 from .sharding import shard_by_bytes
 from .simhash_dedup import simhash_dedup
+from .sketch import fingerprints
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
+from .vector_codes import CODES_SQL, compress
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +73,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 #: Exact groups in one window pass (DuckDB has no trouble with a hot group at test size).
 EXACT_SQL = """
 with t as (
@@ -90,10 +105,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op4_mixing": MIX_SQL,
     "op10_exact_dedup": EXACT_SQL,
+    "op11_lexical_search": SEARCH_SQL,
+    "op13_vector_codes": CODES_SQL,
 }
