@@ -109,15 +109,14 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, scale: int = SCALE) -> Da
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.isnull("doc_id").alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     links, repeats = followers(rows, staged)
-    rows = rows.withColumn("sk", sketch(F.col("text"), size, scale))
-    ahead = rows.select(*[F.col(c).alias(f"next_{c}") for c in KEY], F.col("text").alias("next_text"), F.col("sk").alias("next_sk"))
+    ahead = rows.select(*[F.col(c).alias(f"next_{c}") for c in KEY], F.col("text").alias("next_text"))  # the same exchange as below
     heads = ahead.join(links, [f"next_{c}" for c in KEY])
-    heads = heads.select(*KEY, F.substr("next_text", F.lit(1), F.col("quarter")).alias("head"), "next_sk")
+    heads = heads.select(*KEY, F.substr("next_text", F.lit(1), F.col("quarter")).alias("head"), sketch(F.col("next_text"), size, scale).alias("next_sk"))
     if repeats:
         heads = heads.dropDuplicates(KEY)
     n = F.length("text")
     both = rows.join(heads, KEY).withColumn("n", n).withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n") - F.floor(F.col("n") / 4).cast("int")), "head"))
-    both = both.withColumn("edited_sk", sketch(F.col("edited"), size, scale))
+    both = both.withColumns({"sk": sketch(F.col("text"), size, scale), "edited_sk": sketch(F.col("edited"), size, scale)})
     return both.select(
         F.when(~F.col("none"), F.col("id")).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
