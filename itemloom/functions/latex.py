@@ -140,14 +140,41 @@ def decode_escapes(c: Column) -> Column:
     return let(c, lambda x: F.when(x.rlike(r"\\u[0-9a-fA-F]{4}"), decoded(x)).otherwise(x))
 
 
+def merge_formulas(c: str | Column) -> Column:
+    """Formulas with nothing but white space between them become one, however many there are: ``$a$ $b$`` is ``$a b$``.
+
+    One pass over what lies between the dollars: the piece after an opening
+    dollar takes in the next formula as long as only white space parts them,
+    and otherwise goes to the output.
+    """
+    blank = lambda x: x.rlike(r"^\s*$")
+
+    def folded(parts: Column) -> Column:
+        n = F.size(parts)
+        begin = F.struct(F.lit("").alias("out"), F.get(parts, F.lit(0)).alias("now"), F.lit(1).alias("next"), F.lit(False).alias("opened"))
+
+        def step(acc: Column, _: Column) -> Column:
+            at = acc["next"]
+            joins = acc["opened"] & (acc["now"] != "") & (at + 2 < n) & blank(F.get(parts, at)) & (F.get(parts, at + 1) != "")
+            more = at < n
+            return F.struct(
+                F.when(more & ~joins, F.concat(acc["out"], acc["now"], F.lit("$"))).otherwise(acc["out"]).alias("out"),
+                F.when(joins, F.concat(acc["now"], F.lit(" "), F.get(parts, at + 1))).when(more, F.get(parts, at)).otherwise(acc["now"]).alias("now"),
+                (at + F.when(joins, 2).when(more, 1).otherwise(0)).alias("next"),
+                (acc["opened"] | more).alias("opened"),
+            )
+
+        return F.aggregate(F.sequence(F.lit(1), n), begin, step, lambda acc: F.concat(acc["out"], acc["now"]))
+
+    return let(c, lambda x: F.when(x.rlike(r"\$[^$]+\$\s*\$[^$]+\$"), let(F.split(x, r"\$", -1), folded)).otherwise(x))
+
+
 def fix_latex(c: str | Column) -> Column:
     """Repairs of generated LaTeX; null becomes empty."""
     col = F.coalesce(as_column(c).cast("string"), F.lit(""))
     out = decode_escapes(spell(col, math_letters(lambda x, _: x) | REPAIRED))
     out = rewrite(out, [(r"\\textasciicircum\{\}(-?\d+)", "^{$1}"), (r"\\textasciicircum\{\}", "^")])
-    for _ in range(7):  # each pass halves a row of neighbouring formulas: enough for 128
-        out = rewrite(out, [(r"\$([^$]+)\$\s*\$([^$]+)\$", r"\$$1 $2\$")])
-    return rewrite(out, [(r"\^(-?\d+)(?![}\d])", "^{$1}"), (r"_([a-zA-Z]{2,})(?![}])", "_{$1}"), (r"\$\$", r"\$"), (r"\$\s+", r"\$"), (r"\s+\$", r"\$"), (r"\\mathbb\{([A-Z])\}", "$1")])
+    return rewrite(merge_formulas(out), [(r"\^(-?\d+)(?![}\d])", "^{$1}"), (r"_([a-zA-Z]{2,})(?![}])", "_{$1}"), (r"\$\$", r"\$"), (r"\$\s+", r"\$"), (r"\s+\$", r"\$"), (r"\\mathbb\{([A-Z])\}", "$1")])
 
 
 def latex_error(c: str | Column) -> Column:

@@ -6,27 +6,26 @@ import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators.stats import batch_summary
 from .sources.files import paper_folders
+from .sources.store import kept
 
 Stage = tuple[str, Callable[[DataFrame], DataFrame]]
 RESULT = "name string, status string, duration double, error string"
 
 
 def run_stages(source: DataFrame, stages: list[Stage], root: str) -> tuple[DataFrame, list[dict]]:
-    """O1: each stage's rows are Parquet below ``root`` and the next one's input; stages that are there already are not run again."""
-    spark, now, report = source.sparkSession, source, []
+    """O1: each stage's rows are a committed table below ``root`` and the next one's input.
+
+    Stages that are there whole are not run again; one that was cut off is.
+    """
+    now, report = source, []
     for i, (name, stage) in enumerate(stages):
-        path, began = f"{root}/{i}-{name}", time.monotonic()
-        try:
-            now, status = spark.read.parquet(path), "kept"
-        except AnalysisException:
-            stage(now).write.parquet(path)
-            now, status = spark.read.parquet(path), "success"
-        report.append({"name": name, "status": status, "duration": time.monotonic() - began, "error": None})
+        began = time.monotonic()
+        now, there = kept(source.sparkSession, f"{root}/{i}-{name}", lambda now=now, stage=stage: stage(now))
+        report.append({"name": name, "status": "kept" if there else "success", "duration": time.monotonic() - began, "error": None})
     return now, report
 
 
@@ -56,5 +55,5 @@ def summary(spark: SparkSession, results: list[dict]) -> DataFrame:
 
 def post_process(spark: SparkSession, root: str, prefix: str, holds: str, job: Callable[[str], object], workers: int = 1) -> list[dict]:
     """A job for each folder that ``paper_folders`` finds; errors stay with their folder."""
-    names = [r["folder"] for r in paper_folders(spark, root, prefix, holds).collect()]
-    return run_batch(names, lambda n: job(f"{root.rstrip('/')}/{n}"), workers)
+    paths = {r["folder"]: r["path"] for r in paper_folders(spark, root, prefix, holds).collect()}
+    return run_batch(list(paths), lambda n: job(paths[n]), workers)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import option_digit
 from ..functions.rewrite import as_column, strip
+from .ranges import points_in_ranges
 
 # Key formats in order of trust.
 Q_PATTERN = r"(?mi)Q\s*\.?\s*(\d+)\s*[.)\-:]*\s*\((\d+)\)"
@@ -99,9 +100,9 @@ def overridden(items: DataFrame, extracted: DataFrame) -> DataFrame:
 
 
 def with_page_values(items: DataFrame, per_page: DataFrame, value: str, out: str) -> DataFrame:
-    """J5, J6 as intended (decision B3): values of pages between page_start and page_end, by an equi-join on single pages."""
-    pages = items.select("paper_id", "seg", F.explode(F.sequence("page_start", "page_end")).alias("page")).where("page > 0")
-    listed = pages.join(per_page, ["paper_id", "page"]).groupBy("paper_id", "seg").agg(F.array_sort(F.collect_list(F.struct("page", value))).alias("v"))
+    """J5, J6 as intended (decision B3): values of pages between page_start and page_end, pages from 1; joined on blocks of pages, however long a range is."""
+    spans = items.select("paper_id", "seg", "page_start", "page_end")
+    listed = points_in_ranges(per_page.where("page > 0"), spans, "page", "page_start", "page_end", ["paper_id"]).groupBy("paper_id", "seg").agg(F.array_sort(F.collect_list(F.struct("page", value))).alias("v"))
     listed = listed.select("paper_id", "seg", F.transform("v", lambda x: x[value]).alias(out))
     return items.join(listed, ["paper_id", "seg"], "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 

@@ -12,14 +12,14 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.latex import fix_latex, item_error
 from ..functions.prompts import annotation_prompt, correct_text, model_answer, parse_answers, parse_or_repair, prompt_row
-from ..shared import shared_folder
+from ..shared import Store, shared_folder
+from .calls import Paced
 from .sampling import not_done, replaced, sample_n
 
 TAG = "struct<id:int,subject:string,topic:string,difficulty:string>"
@@ -65,7 +65,12 @@ class OfflineProvider:
 
 
 def completed(rows: DataFrame, provider: Provider, prompt: str = "prompt") -> DataFrame:
-    """Adds ``response``; a call that fails gives null, for the fallbacks to see."""
+    """Adds ``response``; a call that fails gives null, for the fallbacks to see.
+
+    A ``calls.Paced`` provider keeps to its limits and retries.
+    """
+    if isinstance(provider, Paced):
+        return provider.completed(rows, prompt).drop("tries", "call_error")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -150,11 +155,8 @@ def staged(rows: DataFrame, name: str) -> DataFrame:
 def tagged_into(items: DataFrame, provider: Provider, key: list[str], out: str) -> DataFrame:
     """Tag what ``out`` does not hold yet and append it; items of failed batches stay open for the next call."""
     spark = items.sparkSession
-    try:
-        done = spark.read.parquet(out)
-        items = not_done(items, done, key)
-    except AnalysisException:
-        pass  # the first call
+    if Store(spark).sizes(out):
+        items = not_done(items, spark.read.parquet(out), key)
     rows = staged(tagged(items, provider, key), "tags")
     rows.where("tag_status = 'ok'").write.mode("append").parquet(out)
     return spark.read.schema(rows.schema).parquet(out)

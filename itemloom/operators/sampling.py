@@ -96,7 +96,7 @@ def replaced(selected: DataFrame, pool: DataFrame, seed: int, keys: list[str], s
 
 
 def zipped(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Positional pairing by an explicit ordinal; the shorter side decides."""
+    """J12 where both sides have an ordinal or key already; ``ordinal.zip_rows`` pairs rows that have none."""
     return left.join(right, keys)
 
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _DONE: set[str] = set()
@@ -29,3 +33,18 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(home.parent))
     sc.addPyFile(name)
     _DONE.add(sc.applicationId)
+
+
+@contextmanager
+def by_value() -> Iterator[None]:
+    """Inside, what is pickled of this package goes whole.
+
+    The Python processes that plan data sources and stateful streams beside
+    the driver do not get shipped sources.
+    """
+    package = sys.modules[__package__]
+    cloudpickle.register_pickle_by_value(package)
+    try:
+        yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(package)

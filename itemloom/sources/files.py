@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..shared import Store
 
 
 def documents_json(spark: SparkSession, path: str, schema: str, glob: str = "*.json") -> DataFrame:
@@ -35,9 +36,11 @@ def jsonl(spark: SparkSession, path: str, schema: str = schemas.TAGGED, defaults
 
 
 def jsonl_with_ordinal(spark: SparkSession, path: str, schema: str = schemas.TAGGED) -> DataFrame:
-    """Adds ``_idx``, the physical line (blank lines count), from 0. For single files; use natural keys at scale."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("_idx", "line")).withColumn("_idx", F.col("_idx").cast("long"))
-    return lines.where("trim(line) <> ''").select("_idx", F.from_json("line", schema).alias("r")).select("_idx", "r.*")
+    """Adds ``_idx``, the physical line in its file (from 0, blank lines count), and ``_path``; large files are read by many tasks."""
+    from ..operators.ordinal import numbered_lines
+
+    lines = numbered_lines(spark, path).where("trim(value) <> ''")
+    return lines.select("path", "line", F.from_json("value", schema).alias("r")).select(F.col("line").alias("_idx"), F.col("path").alias("_path"), "r.*")
 
 
 def whole_texts(spark: SparkSession, path: str, glob: str = "*.mmd") -> DataFrame:
@@ -83,8 +86,9 @@ def discovered(spark: SparkSession, path: str, glob: str, limit: int | None = No
 
 
 def paper_folders(spark: SparkSession, path: str, prefix: str, holds: str) -> DataFrame:
-    """Folders below ``path`` whose name begins with ``prefix`` and that hold a file named by the pattern ``holds``, sorted."""
-    files = discovered(spark, path, holds).select(F.element_at(F.split("path", "/"), -2).alias("folder"))
+    """(folder, path) of the folders directly in ``path`` whose name begins with ``prefix`` and that hold a file named by the pattern ``holds`` themselves, sorted."""
+    below = F.split(F.substr("path", F.lit(len(Store(spark).qualified(path)) + 2)), "/")
+    files = discovered(spark, path, holds).where(F.size(below) == 2).select(below[0].alias("folder"), F.regexp_replace("path", "/[^/]*$", "").alias("path"))
     return files.where(F.startswith("folder", F.lit(prefix))).distinct().orderBy("folder")
 
 
@@ -139,11 +143,7 @@ class Config:
 
 
 def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A staged Parquet table, made where it is absent."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        make().write.parquet(path)
-        return spark.read.parquet(path)
+    """A staged table, made where there is no whole one (``store``)."""
+    from .store import kept
+
+    return kept(spark, path, make)[0]
