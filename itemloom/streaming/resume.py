@@ -24,8 +24,12 @@ def resume(stream: DataFrame, process: Callable[[DataFrame], DataFrame], out: st
 
 def windowed(stream: DataFrame, length: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Tumbling or sliding counts and sums by event type, with a watermark for late rows."""
-    rows = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    span = F.window("at", length, slide) if slide else F.window("at", length)
+    return windowed_on(stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late), "at", length, slide)
+
+
+def windowed_on(rows: DataFrame, at: str, length: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """The same over rows that have their watermark already."""
+    span = F.window(at, length, slide) if slide else F.window(at, length)
     return rows.groupBy(span.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 

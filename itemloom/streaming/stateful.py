@@ -129,9 +129,14 @@ def once(stream: DataFrame, key: list[str], at: str, late: str = "1 hour") -> Da
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(key)
 
 
-def dropped_late(query: StreamingQuery) -> int:
-    """Rows that came after the watermark had passed them and so count in no window (of the progress that Spark still holds)."""
-    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+def dropped_late(query: StreamingQuery, operator: str = "") -> int:
+    """Rows that came after the watermark had passed them and so count nowhere (of the progress that Spark still holds).
+
+    ``operator`` narrows it to state operators whose name holds the word.
+    Aggregations count what is left after their partial sums; ``once`` ("dedupe")
+    counts row by row.
+    """
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"] if operator in s["operatorName"])
 
 
 def read_output(spark: SparkSession, out: str, schema: str) -> DataFrame:
