@@ -22,8 +22,11 @@ from .staging import Staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 0.6180339887498949
-#: Slots of the schedule at most; a block has as many words as that needs, one at least.
+#: Slots of the schedule: at least so many in all, and so many for each source; a block has as many words as that needs, one at least.
 SLOTS = 1 << 20
+PER_SOURCE = 512
+#: Stretches of the schedule in which slots are ranked apart.
+CELLS = 1 << 12
 #: Strips of the mix, by which points and sources meet.
 STRIPS = 1 << 14
 MOST = 3
@@ -96,23 +99,29 @@ def points(spark, slots: int, total: int) -> DataFrame:
     return spark.range(slots).select(F.col("id").alias("slot"), F.floor(x * F.lit(float(total))).cast("long").alias("pos"))
 
 
-def schedule(goals: DataFrame, staged: Staged, most_slots: int = SLOTS) -> tuple[DataFrame, DataFrame, int]:
+def schedule(goals: DataFrame, staged: Staged, most_slots: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(slots, sources, block): slots (sk, rank, slot), sources (sk, source_size, target, k, take), words of a block.
 
-    ``goals`` has sk, source_size and target.  A source with a target but no
-    point has one slot at the end, of its target's words.
+    ``goals`` has sk, source_size and target.  Without ``most_slots`` the slots
+    grow with the sources, so that each has enough to come near its target.  A
+    source with a target but no point has one slot at the end, of its target's
+    words.
     """
     goals = goals.withColumn("goal", F.floor(F.col("target") + 0.5).cast("long"))
-    total = goals.agg(F.coalesce(F.sum("goal"), F.lit(0))).first()[0]
-    block = max(1, -(-total // most_slots))
+    total, count = goals.agg(F.coalesce(F.sum("goal"), F.lit(0)), F.count_if(F.col("goal") > 0)).first()
+    block = max(1, -(-total // (most_slots or max(SLOTS, PER_SOURCE * count))))
     slots = -(-total // block)
     strip = max(1, -(-total // STRIPS))
     arcs = running(in_order(goals.where("goal > 0"), staged, F.col("sk") == "n", "sk"), hi="goal").withColumn("lo", F.col("hi") - F.col("goal"))
     arcs = arcs.select("sk", "lo", "hi", F.explode(F.sequence(F.expr(f"lo div {strip}"), F.expr(f"(hi - 1) div {strip}"))).alias("strip"))
     dots = points(goals.sparkSession, slots, total).withColumn("strip", F.expr(f"pos div {strip}"))
     named = dots.join(arcs, "strip").where("pos >= lo and pos < hi").select("sk", "slot")
-    rank = F.row_number().over(Window.partitionBy("sk").orderBy("slot")) - 1  # at most ``most_slots`` rows in all
-    named = staged.put(named.select("sk", rank.cast("long").alias("rank"), "slot"))
+    named = staged.put(named.withColumn("cell", F.expr(f"slot div {max(1, -(-slots // CELLS))}")))
+    cells = named.groupBy("sk", "cell").agg(F.count("*").alias("c"))
+    over = Window.partitionBy("sk").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most CELLS rows a source
+    cells = cells.select("sk", "cell", F.coalesce(F.sum("c").over(over), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("sk", "cell").orderBy("slot")) - 1
+    named = staged.put(named.withColumn("inside", inside).join(cells, ["sk", "cell"]).select("sk", (F.col("before") + F.col("inside")).alias("rank"), "slot"))
     count = named.groupBy("sk").agg(F.count("*").alias("k"))
     take = F.when(F.col("k").isNull(), F.col("goal")).otherwise(F.least(F.col("k") * block, F.col("source_size") * MOST))
     sources = staged.put(goals.join(count, "sk", "left").select("sk", "source_size", "target", F.coalesce("k", F.lit(0)).alias("k"), take.alias("take")))
@@ -151,7 +160,7 @@ def block_pieces(placed: DataFrame, slots: DataFrame, block: int, most: int = MO
     return rows.join(slots, ["sk", "rank"]).select("sk", "start", "pass", "slot", "words")
 
 
-def parts(docs: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
+def parts(docs: DataFrame, slots: int | None) -> tuple[DataFrame, DataFrame]:
     """(rows with start and their source's figures, pieces)."""
     staged = Staged(docs.sparkSession, "mixing")
     rows = staged.put(sized(docs))
@@ -160,13 +169,14 @@ def parts(docs: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
     return placed, block_pieces(placed, named, block)
 
 
-def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+def mix(docs: DataFrame, slots: int | None = None) -> DataFrame:
     """How many words of each document the mix takes.
 
     Returns doc_id, size, source_size, target, taken and first_slot (null if
     nothing is taken).  A source's taken words are its slots times the words
     of a block: its target within a few blocks, a block being a ``slots``-th
-    of all words.  Each whole pass takes every word of a document once, and
+    of all words (by default ``SLOTS`` or ``PER_SOURCE`` for each source,
+    whatever is more).  Each whole pass takes every word of a document once, and
     there are three passes at most.
 
     Null or empty texts have size 0 and are never taken; long texts are spread
@@ -182,12 +192,14 @@ def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
-def mixed(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+def mixed(docs: DataFrame, slots: int | None = None) -> DataFrame:
     """The mix as whole documents in slot order, columns unchanged: one row for each pass that takes a document.
 
     Of the document in which a source's last pass ends, half or more is
     rounded up to all of it and less to none.  Rows alike in doc_id, source
-    and text count as one row repeated.
+    and text count as one row repeated.  Null and empty texts are never taken;
+    a very long one comes whole or not at all; ties of slots go by id.  An
+    empty table gives an empty table.
     """
     placed, pieces = parts(docs, slots)
     passes = pieces.groupBy("sk", "start", "pass").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
@@ -223,7 +235,7 @@ goals as (
 arcs as (
   select *, floor(target + 0.5)::bigint as goal, (sum(floor(target + 0.5)::bigint) over (order by source nulls last rows unbounded preceding))::bigint as hi from goals),
 whole as (
-  select coalesce(sum(goal), 0)::bigint as total, greatest(1, (coalesce(sum(goal), 0)::bigint + {SLOTS - 1}) // {SLOTS}) as block from arcs),
+  select coalesce(sum(goal), 0)::bigint as total, greatest(1, (coalesce(sum(goal), 0)::bigint + greatest({SLOTS}, {PER_SOURCE} * count_if(goal > 0))::bigint - 1) // greatest({SLOTS}, {PER_SOURCE} * count_if(goal > 0))::bigint) as block from arcs),
 slots as (
   select unnest(range(0, ((total + block - 1) // block)::bigint)) as slot, total from whole),
 dots as (

@@ -50,7 +50,7 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(fp.view(np.int64))], names=["doc_id", "h", "fp"])
 
 
 def signed(x: int) -> int:
@@ -171,11 +171,30 @@ def simhash_dedup(docs: DataFrame, count: int = 3) -> DataFrame:
     alone has component_id null).  Repeated rows give repeated rows, an empty
     table an empty one; other columns are not read.
     """
-    spark = docs.sparkSession
-    staged = Staged(spark, "simhash")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = staged.put(rows.mapInArrow(fingerprint_rows, "doc_id long, fp long"))
+    staged = Staged(docs.sparkSession, "simhash")
+    rows = fingerprinted(docs, staged)
     total = rows.count()
+    named = grouped(rows, staged, count)
+    least = named.groupBy("root").agg(F.min("smallest").alias("component_id"), F.count("*").alias("c"))
+    members = spread_join(named, least.drop("c"), ["root"], least.where(F.col("c") * HEAVY > total))
+    members = staged.put(members.select("fp", "component_id", "n"))
+    out = spread_join(rows.drop("h"), members.drop("n"), ["fp"], members.where(F.col("n") * HEAVY > total))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def fingerprinted(docs: DataFrame, staged: Staged) -> DataFrame:
+    """(doc_id, h: hash of the text, fp) of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
+    return staged.put(rows.mapInArrow(fingerprint_rows, "doc_id long, h long, fp long"))
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def grouped(rows: DataFrame, staged: Staged, count: int) -> DataFrame:
+    """One row for each fingerprint: fp, root (one for each component), smallest doc_id, n rows."""
+    spark = rows.sparkSession
     nodes = staged.put(rows.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n")))
     # dealt anew, since each fingerprint becomes well over a hundred rows
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -183,19 +202,26 @@ def simhash_dedup(docs: DataFrame, count: int = 3) -> DataFrame:
     edges = balls.repartition("key").mapInArrow(links, "u long, v long")
     roots = connected_components(edges, staged)
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "smallest", "n", F.coalesce("root", "fp").alias("root"))
-    named = staged.put(named)
-    least = named.groupBy("root").agg(F.min("smallest").alias("component_id"), F.count("*").alias("c"))
-    members = spread_join(named, least.drop("c"), ["root"], least.where(F.col("c") * HEAVY > total))
-    members = staged.put(members.select("fp", "component_id", "n"))
-    out = spread_join(rows, members.drop("n"), ["fp"], members.where(F.col("n") * HEAVY > total))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return staged.put(named)
 
 
 def near_unique(docs: DataFrame, count: int = 3) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest doc_id, columns unchanged.
+    """One row of each near-duplicate group, the one with the smallest doc_id, columns unchanged.
 
-    Rows without a doc_id can't be named by a group and stay.
+    Among rows that share this doc_id the smallest hash of the text decides,
+    and of rows alike in both, one stays.  Rows without a doc_id can't be named
+    by a group and stay.  Null, empty and very long texts are grouped as by
+    ``simhash_dedup``; an empty table stays empty.
     """
-    groups = simhash_dedup(docs.select("doc_id", "text"), count)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("k_id")).distinct()
-    return docs.join(keep, docs.doc_id == keep.k_id, "left_semi").unionByName(docs.where("doc_id is null"))
+    staged = Staged(docs.sparkSession, "simhash")
+    rows = fingerprinted(docs, staged)
+    roots = grouped(rows, staged, count).select("fp", "root")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("first")
+    first = rows.groupBy("fp").agg(first).join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).where("first is not null")
+    keep = staged.put(first.select(F.col("first.doc_id").alias("k_id"), F.col("first.h").alias("k_h")))
+    kept = docs.join(keep, (docs.doc_id == keep.k_id) & (text_hash() == keep.k_h), "left_semi")
+    again = rows.join(keep, (rows.doc_id == keep.k_id) & (rows.h == keep.k_h)).groupBy("doc_id", "h").count().where("count > 1")
+    if not again.isEmpty():
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.select("doc_id", text_hash().alias("h"), row.alias("row")).groupBy("doc_id", "h").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -6,6 +6,10 @@ a linear softmax reads the label off it.  All are trained together in numpy on
 a bounded sample of labelled rows.  A misspelling shares most n-grams with the
 word that it hides, so it shares its vector.
 
+Executors turn the sampled texts, whole, into weights of buckets; Spark counts
+how many texts of each label hold a bucket; the driver gets the weights of the
+buckets that tell the labels apart, never a text.
+
 Means and the softmax's input are linear, so a trained model is one number for
 each bucket (a difference of logits), and scoring a text is a mean of numbers.
 """
@@ -22,19 +26,20 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .memory import give_back
+from .staging import Staged
 from .words import Words, chunks, mix, text_buffers
 
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 #: Labelled rows used for training at most, those of smallest hash of doc_id.
 SAMPLE = 5_000
-#: Characters of a text that training reads; of a longer one, a stretch at a place that its doc_id's hash names.
-SAMPLE_CHARS = 32_768
 #: Buckets in fewer training texts than this share, or telling the labels apart less surely, are not learnt.
 LEAST_SHARE = 0.003
 LEAST_Z = 4.0
-#: Length of the steps of the embeddings.
+#: Length of the steps of the embeddings, their dimensions, and the spread of their random start.
 STEP = 20.0
+DIM = 4
+START = 0.01
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -84,35 +89,27 @@ class Bag:
         self.buckets, self.owner = np.concatenate(buckets), np.concatenate(owners)
         self.grams = np.bincount(self.owner, minlength=self.n_words)
 
-    def telling(self, label: np.ndarray) -> Bag:
-        """The same texts with only the buckets whose presence differs between the labels; words keep their number of n-grams.
-
-        A bucket must be in ``LEAST_SHARE`` of the texts, and the difference of
-        its shares ``LEAST_Z`` standard errors; others would be learnt by heart.
-        """
-        has = np.zeros((2, BUCKETS))
+    def weights(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, bucket, weight), by text and bucket: what each bucket's number counts for in the mean of each text."""
+        none = np.zeros(0, np.int64)
+        if not self.n_words:
+            return none, none, np.zeros(0)
+        pair, count = np.unique(self.doc * np.int64(self.n_words) + self.word, return_counts=True)
+        doc, word = pair // self.n_words, pair % self.n_words
         order = np.argsort(self.owner, kind="stable")
         buckets, first = self.buckets[order], np.searchsorted(self.owner[order], np.arange(self.n_words + 1))
-        start = np.concatenate([[0], np.cumsum(self.per_doc)])
-        for lo in range(0, self.n_docs, 64):
-            hi = min(lo + 64, self.n_docs)
-            seen = np.zeros((hi - lo, BUCKETS), dtype=bool)
-            for d in range(lo, hi):
-                w = np.unique(self.word[start[d] : start[d + 1]])
-                n = first[w + 1] - first[w]
-                at = np.repeat(first[w] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                seen[d - lo, buckets[at]] = True
-            for y in (0, 1):
-                has[y] += seen[label[lo:hi] == y].sum(axis=0)
-        n = np.maximum(np.bincount(label, minlength=2), 1)
-        p = has.sum(axis=0) / n.sum()
-        error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n[0] + 1 / n[1]))
-        good = (np.abs(has[1] / n[1] - has[0] / n[0]) >= LEAST_Z * error) & (has.sum(axis=0) >= max(3, LEAST_SHARE * self.n_docs))
-        keep = good[self.buckets]
-        out = Bag.__new__(Bag)
-        out.__dict__ |= self.__dict__
-        out.buckets, out.owner = self.buckets[keep], self.owner[keep]
-        return out
+        share = count / self.per_doc[doc] / self.grams[word]
+        keys, sums = [], []
+        edge = np.searchsorted(doc, np.arange(self.n_docs + 1))
+        for d in range(self.n_docs):
+            w = word[edge[d] : edge[d + 1]]
+            n = first[w + 1] - first[w]
+            at = np.repeat(first[w] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            own, back = np.unique(buckets[at], return_inverse=True)
+            keys.append(d * np.int64(BUCKETS) + own)
+            sums.append(np.bincount(back, np.repeat(share[edge[d] : edge[d + 1]], n), len(own)))
+        key = np.concatenate(keys)
+        return key // BUCKETS, key % BUCKETS, np.concatenate(sums)
 
     def word_values(self, value: np.ndarray) -> np.ndarray:
         """Mean bucket value of each different word."""
@@ -135,73 +132,81 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(bag.means(self.value) + self.bias, -50, 50)))
 
 
-def rows_sum(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(index, weights=values[:, j], minlength=n) for j in range(values.shape[1])], axis=1)
+@dataclass
+class Weights:
+    """Some labelled texts as weights of buckets (text, bucket and weight of each entry)."""
+
+    label: np.ndarray
+    doc: np.ndarray
+    bucket: np.ndarray
+    weight: np.ndarray
+
+    def means(self, value: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, self.weight * value[self.bucket], len(self.label))
+
+    def vectors(self, emb: np.ndarray) -> np.ndarray:
+        """Each text's vector."""
+        return np.stack([self.means(emb[:, j]) for j in range(emb.shape[1])], axis=1)
+
+    def back(self, d_text: np.ndarray) -> np.ndarray:
+        """What the texts' gradients come to for each bucket."""
+        return np.stack([np.bincount(self.bucket, self.weight * d_text[self.doc, j], BUCKETS) for j in range(d_text.shape[1])], axis=1)
 
 
-def train(bag: Bag, label: np.ndarray, check: Bag, check_label: np.ndarray, dim: int = 2, rounds: int = 60, rate: float = 0.1, patience: int = 8, seed: int = 7) -> Model:
-    """Embeddings and softmax trained together by normalised gradient steps.
+def train(rows: Weights, check: Weights, dim: int = DIM, rounds: int = 60, rate: float = 0.1, patience: int = 8, seed: int = 7) -> Model:
+    """Embeddings and softmax trained together by normalised gradient steps, from random vectors.
 
     A bucket's vector is scaled by the inverse root of its share in the texts,
     so that rare and frequent n-grams start equal.  The round with the least
     log loss on the texts of ``check`` is kept.
     """
     rng = np.random.default_rng(seed)
+    label = rows.label
     positive = float(label.mean()) if len(label) else 0.0
-    if not 0 < positive < 1 or not bag.n_words:
+    if not 0 < positive < 1:
         return Model(np.zeros(BUCKETS), -50.0 if positive < 0.5 else 50.0)
-    bag = bag.telling(label)
-    if not len(bag.buckets):
+    if not len(rows.bucket):
         return Model(np.zeros(BUCKETS), float(np.log(positive / (1 - positive))))
-    pair, count = np.unique(bag.doc * np.int64(bag.n_words) + bag.word, return_counts=True)
-    doc, word = pair // bag.n_words, pair % bag.n_words
-    share = (count / bag.per_doc[doc])[:, None]
-    gram_share = (1 / bag.grams)[:, None]
-    by_word = np.bincount(word, weights=share[:, 0], minlength=bag.n_words) / bag.n_docs
-    mass = np.bincount(bag.buckets, weights=(by_word / bag.grams)[bag.owner], minlength=BUCKETS)
+    mass = np.bincount(rows.bucket, rows.weight, BUCKETS) / len(label)
     scale = np.where(mass > 0, 1 / np.sqrt(np.maximum(mass, 1e-12)), 0.0)[:, None]
-    axis = rng.normal(size=dim)
-    axis /= 2 * np.linalg.norm(axis)
-    params = [np.zeros((BUCKETS, dim)), np.stack([-axis, axis], axis=1), np.log([1 - positive, positive])]
+    params = [rng.normal(0, START, size=(BUCKETS, dim)), rng.normal(0, 0.5, size=(dim, 2)), np.log([1 - positive, positive])]
     speed = [np.zeros_like(p) for p in params]
     target = np.eye(2)[label]
     best, best_loss, since = Model(np.zeros(BUCKETS), float(params[2][1] - params[2][0])), np.inf, 0
     for _ in range(rounds):
         emb, soft, bias = params
-        words = rows_sum(bag.owner, (emb * scale)[bag.buckets], bag.n_words) * gram_share
-        texts = rows_sum(doc, words[word] * share, bag.n_docs)
+        texts = rows.vectors(emb * scale)
         logit = texts @ soft + bias
         logit -= logit.max(axis=1)[:, None]
         p = np.exp(logit)
         p /= p.sum(axis=1)[:, None]
         err = (p - target) / len(label)
-        d_word = rows_sum(word, (err @ soft.T)[doc] * share, bag.n_words) * gram_share
-        d_emb = rows_sum(bag.buckets, d_word[bag.owner], BUCKETS) * scale
+        d_emb = rows.back(err @ soft.T) * scale
         for i, g in enumerate((d_emb, texts.T @ err, err.sum(axis=0))):
             step = (rate if i else STEP) * g
             speed[i] = 0.8 * speed[i] - step
             params[i] = params[i] + speed[i]
         emb, soft, bias = params
         now = Model(((emb * scale) @ (soft[:, 1] - soft[:, 0])), float(bias[1] - bias[0]))
-        s = np.clip(now.scores(check), 1e-9, 1 - 1e-9)
-        loss = -float(np.mean(np.where(check_label == 1, np.log(s), np.log(1 - s))))
+        s = np.clip(1 / (1 + np.exp(-np.clip(check.means(now.value) + now.bias, -50, 50))), 1e-9, 1 - 1e-9)
+        loss = -float(np.mean(np.where(check.label == 1, np.log(s), np.log(1 - s)))) if len(s) else 0.0
         if loss < best_loss - 1e-5:
             best, best_loss, since = now, loss, 0
         else:
             since += 1
             if since >= patience:
                 break
-    return calibrated(best, check, check_label)
+    return calibrated(best, check)
 
 
-def calibrated(model: Model, check: Bag, label: np.ndarray, steps: int = 50) -> Model:
+def calibrated(model: Model, check: Weights, steps: int = 50) -> Model:
     """Slope and intercept of the logits fitted on held-back texts (Newton's method, slightly damped)."""
-    x = np.stack([check.means(model.value) + model.bias, np.ones(check.n_docs)], axis=1)
+    x = np.stack([check.means(model.value) + model.bias, np.ones(len(check.label))], axis=1)
     w = np.array([1.0, 0.0])
     prior = np.array([1.0, 0.0])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        grad = x.T @ (p - label) + 0.1 * (w - prior)
+        grad = x.T @ (p - check.label) + 0.1 * (w - prior)
         w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), grad)
         w[0] = max(w[0], 0.1)
     return Model(model.value * w[0], float(model.bias * w[0] + w[1]))
@@ -212,37 +217,86 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def bag_of(texts: list[str]) -> Bag:
-    raw, off = text_buffers(pa.array(texts, pa.large_string()))
-    return Bag(raw, off)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """At most ``sample`` rows (doc_id, y, columns of docs) whose labels may be learnt from.
+    """At most ``sample`` rows (doc_id, y, columns of docs) whose labels may be learnt from, one for each doc_id.
 
     The ids are drawn from the labels alone (smallest hashes), so the join's
-    broadcast side has at most ``sample`` rows.
+    broadcast side has at most ``sample`` rows.  Of rows that share a doc_id,
+    that of the smallest hash is learnt from; tasks choose before they shuffle.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(~held_out())
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.join(F.broadcast(drawn), "doc_id")
+    rows = docs.join(F.broadcast(drawn), "doc_id")
+    row = F.struct(*[c for c in rows.columns if c != "doc_id"])
+    return rows.groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("r")).select("doc_id", "r.*")
+
+
+def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts to the weights of their buckets."""
+    for batch in batches:
+        raw, off = text_buffers(batch.column("text"))
+        for lo, hi in chunks(off):
+            doc, bucket, weight = Bag(raw, off[lo : hi + 1]).weights()
+            cut = pa.array(np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, x) for x in (pa.array(bucket.astype(np.int32)), pa.array(weight.astype(np.float32)))]
+            some = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("y"), *lists], names=["doc_id", "y", "buckets", "weights"])
+
+
+def telling(rows: DataFrame) -> np.ndarray:
+    """The buckets whose presence differs between the labels, ascending.
+
+    A bucket must be in ``LEAST_SHARE`` of the texts, and the difference of its
+    shares ``LEAST_Z`` standard errors; others would be learnt by heart.
+    """
+    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    total = max(1, sum(n.values()))
+    n0, n1 = max(1, n.get(0, 0)), max(1, n.get(1, 0))
+    has = rows.select("y", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum(1 - F.col("y")).alias("h0"), F.sum("y").alias("h1"))
+    p = (F.col("h0") + F.col("h1")) / total
+    error = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n0 + 1 / n1))
+    good = (F.abs(F.col("h1") / n1 - F.col("h0") / n0) >= LEAST_Z * error) & (F.col("h0") + F.col("h1") >= max(3, LEAST_SHARE * total))
+    return np.sort(has.where(good).select("bucket").toArrow().column("bucket").to_numpy()).astype(np.int64)  # at most BUCKETS
+
+
+def gathered(rows: DataFrame, good: np.ndarray) -> Weights:
+    """The rows' weights of the buckets in ``good``, on the driver: at most as many rows as the sample has."""
+    sent = rows.sparkSession.sparkContext.broadcast(good)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("buckets")
+            size = np.diff(lists.offsets.to_numpy())
+            bucket, weight = lists.flatten().to_numpy(), batch.column("weights").flatten().to_numpy()
+            keep = np.isin(bucket, sent.value)
+            cut = pa.array(np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(size)), size)[keep], minlength=len(size)))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x[keep])) for x in (bucket, weight)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *lists], names=["doc_id", "y", "buckets", "weights"])
+
+    got = rows.mapInArrow(narrow, WEIGHED).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow().combine_chunks()
+    if not len(got):
+        return Weights(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    lists = got.column("buckets").combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    weight = got.column("weights").combine_chunks().flatten().to_numpy().astype(np.float64)
+    return Weights(got.column("y").to_numpy().astype(np.int64), np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy().astype(np.int64), weight)
+
+
+WEIGHED = "doc_id long, y int, buckets array<int>, weights array<float>"
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
+    """A model from at most ``sample`` labelled rows, whole texts; a fifth of them picks the round and calibrates."""
+    staged = Staged(docs.sparkSession, "toxicity")
     rows = labelled_sample(docs.select("doc_id", "text"), labels, label, sample)
-    spare = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
-    stretch = F.substr("text", (F.pmod(F.xxhash64("doc_id"), spare + 1) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    rows = rows.withColumn("text", F.coalesce(stretch, F.lit(""))).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).toArrow()
-    texts, y = rows.column("text").to_pylist(), np.array(rows.column("y").to_pylist(), dtype=np.int64)
-    check = np.arange(len(y)) % 5 == 4
-    part = lambda keep: (bag_of([t for t, k in zip(texts, keep, strict=True) if k]), y[keep])
-    sets = [*part(~check), *part(check)]
-    del rows, texts
-    give_back(docs.sparkSession)
+    rows = staged.put(rows.select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(bucket_rows, WEIGHED))
+    fifth = F.pmod(F.xxhash64(F.lit("check"), "doc_id"), F.lit(5)) == 4
+    good = telling(rows.where(~fifth))
+    sets = [gathered(rows.where(~fifth), good), gathered(rows.where(fifth), good)]
     model = train(*sets)
     del sets
-    give_back()
+    give_back(docs.sparkSession)
     return model
 
 
@@ -266,11 +320,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
     lang, source and doc_id are never inputs of a score.
 
     A null or empty text, or one without letters or digits, gets the score of
-    the intercept alone.  Very long texts are scored whole; of one in the
-    sample, training reads a stretch of ``SAMPLE_CHARS``.  A null doc_id is never held out and never labelled.
-    Without both labels in the sample every score is 0 (or 1, if all are 1).
-    Repeated label rows count once, as toxic if any says so.  Repeated rows
-    give repeated rows; an empty table an empty one; other columns are not read.
+    the intercept alone.  Very long texts are learnt from and scored whole.  A
+    null doc_id is never held out and never labelled.  Without both labels in
+    the sample every score is 0 (or 1, if all are 1).  Repeated label rows
+    count once, as toxic if any says so; of rows that share a doc_id one is
+    learnt from.  Repeated rows give repeated rows; an empty table an empty
+    one; other columns are not read.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -281,7 +336,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` (columns unchanged) whose text does not score ``threshold`` or more; one pass, no shuffle."""
+    """The rows of ``docs`` (columns unchanged) whose text does not score ``threshold`` or more; one pass, no shuffle.
+
+    Null, empty and very long texts, null ids, ties and repeated rows are
+    scored as by ``toxicity``; an empty table stays empty.
+    """
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, "toxic", sample))
     names, schema = docs.columns, docs.schema

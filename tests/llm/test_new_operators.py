@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -263,3 +264,80 @@ def test_no_vectors(spark):
     assert vector_codes.compress(spark.createDataFrame([], schema)).count() == 0
     assert vector_codes.compress(spark.createDataFrame([(1, None, 1), (2, [float("nan")], 1)], schema)).count() == 0
     assert vector_codes.compress(spark.createDataFrame([(1, [1e38, 1e38], 1)], schema)).count() == 0
+
+
+def test_a_sample_is_bounded_by_rows(spark):
+    from itemloom.llm.toxicity import labelled_sample
+
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 3 != 1][:3]
+    rows = spark.range(10_000).select(F.lit(ids[0]).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    rows = rows.union(spark.createDataFrame([(i, "other") for i in ids[1:]], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, 1) for i in ids] * 2, "doc_id long, toxic int")
+    got = labelled_sample(rows, labels, "toxic", 5)
+    assert got.columns == ["doc_id", "text", "y"] and sorted(r.doc_id for r in got.collect()) == ids
+    assert sorted(got.collect()) == sorted(labelled_sample(rows.repartition(7), labels, "toxic", 5).collect())
+
+
+def test_long_texts_are_learnt_from_whole(spark):
+    """The words that tell the labels apart stand at the end of long texts alone."""
+    from itemloom.llm import toxicity
+
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in "bcdfghklmnp" for b in ("an", "or", "ed", "is")]
+    filler = lambda n: [rng.choice(words) + rng.choice(words) for _ in range(n)]
+    rows = [(i, " ".join(filler(5_000 if i % 40 == 0 else 20) + (["stupid", "fool"] * (250 if i % 40 == 0 else 2) if i % 4 == 0 else []))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    out = toxicity.toxicity(df, labels).collect()
+    assert np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in out if r.held_out]) > 0.97
+
+
+def test_unseen_misspellings_share_vectors(spark):
+    from itemloom.llm import toxicity
+
+    rng = random.Random(13)
+    words = [f"{a}{b}" for a in "bcdfghklmnp" for b in ("an", "or", "ed", "is")]
+    filler = lambda: [rng.choice(words) + rng.choice(words) for _ in range(30)]
+    rows = [(i, " ".join(filler() + (["worthless", "stupidity"] if i % 3 == 0 else []))) for i in range(900)]
+    unseen = ["wortthless", "worthles", "worthlless", "stupidityy", "sstupidity", "stupiditi"]
+    rows += [(10_000 + i, " ".join(filler() + [w, w])) for i, w in enumerate(unseen)] + [(20_000 + i, " ".join(filler())) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(900)], "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.toxicity(df, labels).collect()}
+    assert min(score[10_000 + i] for i in range(len(unseen))) > max(score[20_000 + i] for i in range(20))
+
+
+def test_slots_grow_with_sources(spark, monkeypatch):
+    from itemloom.llm import mixing
+
+    rng = random.Random(14)
+    rows = [(i, "w " * rng.randint(100, 300), f"s{i % 400}") for i in range(4_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    def off(got):
+        sums = got.assign(source=got.doc_id % 400).groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+        return (abs(sums.taken - sums.target) / sums.target).max()
+
+    monkeypatch.setattr(mixing, "SLOTS", 1_000)
+    whole, few = off(mixing.mix(docs).toPandas()), off(mixing.mix(docs, 1_000).toPandas())
+    assert whole < 0.03 and few > 0.1
+
+
+def test_near_copies_of_a_repeated_id_go(spark):
+    from itemloom.llm import simhash_dedup
+
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    schema = "doc_id long, text string, k_id string, h string, row int"
+    for rows, want in (
+        ([(5, a), (5, b), (3, b)], [(3, b), (5, a)]),
+        ([(5, a), (5, a), (7, a)], [(5, a)]),
+        ([(5, a), (5, a + "\n"), (None, a)], None),
+        ([], []),
+    ):
+        df = spark.createDataFrame([(*r, "k", "x", 1) for r in rows], schema)
+        got = simhash_dedup.near_unique(df)
+        assert got.columns == df.columns
+        found = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+        if want is None:
+            assert len(found) == 2 and sum(i == 5 for i, _ in found) == 1 and (None, a) in found
+        else:
+            assert found == sorted(want, key=str)
