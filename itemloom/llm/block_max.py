@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .words import ranges
+
 #: Postings of a block at most.
 LONGEST = 64
 #: Price of a block, in average scores of its list.
@@ -69,12 +71,6 @@ def _cut_alike(score: np.ndarray, begin: np.ndarray, size: np.ndarray, longest:
     return np.concatenate(out)
 
 
-def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """All whole numbers of the ranges lo[i] .. hi[i] - 1, one range after the other."""
-    n = hi - lo
-    return np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
-
-
 class Shard:
     """Posting lists over documents 0 .. n_docs - 1, scored and cut into blocks.
 

@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .words import chunks, text_buffers
+from .words import Words, chunks, ranges, text_buffers
 
 #: Bytes that a worker remembers of pieces it has encoded; beyond it all are forgotten.
-REMEMBERED_BYTES = 64 << 20
-#: Python's own bytes for a remembered piece (three byte strings, a tuple, a place in the dictionary).
-ENTRY_BYTES = 260
+REMEMBERED_BYTES = 128 << 20
+#: Bytes of a remembered piece beside its ids and decoded text (a place in the dictionary, its hash, two ends).
+ENTRY_BYTES = 150
 #: Text handled at once; longer texts go through in parts cut at white space.
 SLICE_BYTES = 2 << 20
 #: Different pieces encoded at once.
@@ -47,20 +48,27 @@ def byte_letters() -> dict[int, str]:
 class PairIndexBPE:
     """Merges of a tokenizer file applied to many pre-tokens together."""
 
-    def __init__(self, path: str):
+    def __init__(self, file: bytes | str):
+        """``file`` is a tokenizer file's content, or its path."""
         from tokenizers import Tokenizer
 
-        spec = json.load(open(path, encoding="utf-8"))
-        self.library = Tokenizer.from_file(path)
+        if isinstance(file, str):
+            with open(file, "rb") as source:
+                file = source.read()
+        spec = json.loads(file)
+        self.library = Tokenizer.from_buffer(file)
         model = spec["model"]
         suffix = model.get("end_of_word_suffix") or ""
         vocab: dict[str, int] = model["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: s.encode() for s, i in vocab.items()} | {i: s.encode() for s, i in self.added.items()}
+        names = {i: s.encode() for s, i in vocab.items()} | {i: s.encode() for s, i in self.added.items()}
+        #: every id's name with a space after it, end to end: that of id i is named[upto[i] : upto[i + 1]]
+        spaced = [names[i] + b" " if i in names else b"" for i in range(max(names) + 1)]
+        self.named, self.upto = np.frombuffer(b"".join(spaced), np.uint8), np.cumsum([0, *map(len, spaced)])
         letters = byte_letters()
         self.inner = np.array([vocab[letters[b]] for b in range(256)], dtype=np.int64)
         self.final = np.array([vocab[letters[b] + suffix] for b in range(256)], dtype=np.int64)
-        self.width = np.int64(max(self.names) + 2)
+        self.width = np.int64(len(spaced) + 1)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left = np.array([vocab[a] for a, _ in pairs], dtype=np.int64)
         right = np.array([vocab[b] for _, b in pairs], dtype=np.int64)
@@ -73,8 +81,16 @@ class PairIndexBPE:
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
         self.unletter = {c: b for b, c in letters.items()}
-        self.entries: dict[bytes, tuple[bytes, bytes]] = {}
-        self.held = 0
+        self.forget()
+
+    def forget(self) -> None:
+        """No pieces are known: numbers by hash, and, end to end by number, their ids and decoded text."""
+        self.number: dict[int, int] = {}
+        self.ids, self.text = bytearray(), bytearray()
+        self.ids_end, self.text_end = array("q", [0]), array("q", [0])
+
+    def held(self) -> int:
+        return len(self.number) * ENTRY_BYTES + len(self.ids) + len(self.text)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where there is none."""
@@ -82,10 +98,10 @@ class PairIndexBPE:
         at = np.minimum(np.searchsorted(self.key, k), len(self.key) - 1)
         return np.where((self.key[at] == k) & (a >= 0) & (b >= 0), self.rank[at], -1)
 
-    def encode_tokens(self, tokens: list[bytes]) -> list[np.ndarray]:
-        """Ids of each pre-token (non-empty UTF-8 bytes)."""
+    def encode_tokens(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pre-tokens (non-empty UTF-8 bytes) end to end, where each one's end)."""
         if not tokens:
-            return []
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         data = np.frombuffer(b"".join(tokens), dtype=np.uint8)
         lens = np.array([len(t) for t in tokens], dtype=np.int64)
         n = len(data)
@@ -143,9 +159,7 @@ class PairIndexBPE:
             before = prv[pos]
             note(np.concatenate([pos[after < n], before[before < n]]))
         alive = sym[:n] >= 0
-        ids = sym[:n][alive]
-        upto = np.cumsum(alive)[end - 1]
-        return np.split(ids, upto[:-1])
+        return sym[:n][alive], np.cumsum(alive)[end - 1]
 
     def pretokens(self, piece: str) -> list[bytes]:
         """Pre-tokens of a piece without added tokens, as UTF-8 bytes."""
@@ -169,42 +183,64 @@ class PairIndexBPE:
         return out + self.pretokens(text[at:])
 
     def learn(self, pieces: list[bytes]) -> None:
-        """Enter the ids and the decoded bytes of pieces not known yet."""
+        """Append the ids and the decoded text (each name with a space after it) of pieces not known yet."""
         for i in range(0, len(pieces), BATCH_PIECES):
-            group = pieces[i : i + BATCH_PIECES]
-            split = [self.parts(p) for p in group]
-            tokens = list({t for ps in split for t in ps if isinstance(t, bytes)})
-            ready: dict[bytes | int, tuple[bytes, bytes]] = {i: (int(i).to_bytes(4, "little"), self.names[i] + b" ") for i in self.added.values()}
-            names = self.names
-            for t, ids in zip(tokens, self.encode_tokens(tokens), strict=True):
-                ready[t] = (ids.astype("<u4").tobytes(), b" ".join([names[x] for x in ids.tolist()]) + b" ")
-            for p, ps in zip(group, split, strict=True):
-                if len(ps) == 1:
-                    self.entries[p] = ready[ps[0]]
-                else:
-                    self.entries[p] = (b"".join([ready[x][0] for x in ps]), b"".join([ready[x][1] for x in ps]))
-                self.held += ENTRY_BYTES + len(p) + sum(map(len, self.entries[p]))
-
-    def encode(self, texts: list[list[bytes]]) -> Iterator[tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit integers, decoded UTF-8) of texts given as their white-space-free pieces."""
-        if self.held > REMEMBERED_BYTES:
-            self.entries.clear()
-            self.held = 0
-        known = self.entries
-        self.learn(list({p for t in texts for p in t if p not in known}))
-        for t in texts:
-            got = [known[p] for p in t]
-            yield b"".join([x[0] for x in got]), b"".join([x[1] for x in got])[:-1]
+            split = [self.parts(p) for p in pieces[i : i + BATCH_PIECES]]
+            known: dict[bytes | int, int] = {}
+            used = np.array([known.setdefault(t, len(known)) for ps in split for t in ps], dtype=np.int64)
+            tokens = [t for t in known if isinstance(t, bytes)]
+            ids, end = self.encode_tokens(tokens)
+            added = [t for t in known if isinstance(t, int)]
+            place = np.empty(len(known), np.int64)
+            place[[known[t] for t in tokens]], place[[known[t] for t in added]] = np.arange(len(tokens)), len(tokens) + np.arange(len(added))
+            ids, end = np.concatenate([ids, np.array(added, np.int64)]), np.concatenate([[0], end, len(ids) + 1 + np.arange(len(added))])
+            used = place[used]
+            ids_of = ids[ranges(end[used], end[used + 1])]
+            last = np.cumsum([0, *map(len, split)])  # parts up to each piece
+            count = np.concatenate([[0], np.cumsum(end[used + 1] - end[used])])[last]
+            width = np.concatenate([[0], np.cumsum(self.upto[ids_of + 1] - self.upto[ids_of])])[count]
+            self.ids_end.frombytes((self.ids_end[-1] + count[1:]).tobytes())
+            self.text_end.frombytes((self.text_end[-1] + width[1:]).tobytes())
+            self.ids += ids_of.astype("<u4").tobytes()
+            self.text += self.named[ranges(self.upto[ids_of], self.upto[ids_of + 1])].tobytes()
+
+    def numbers(self, words: Words) -> np.ndarray:
+        """The number of each piece; those that are new are learnt.  Pieces are told apart by a 64-bit hash."""
+        h, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        known = self.number
+        new = [i for i, x in enumerate(h.tolist()) if x not in known]
+        begin = len(self.ids_end) - 1
+        self.learn([words.raw[a:b].tobytes() for a, b in zip(words.starts[first[new]], words.ends[first[new]], strict=True)])
+        known.update(zip(h[new].tolist(), range(begin, begin + len(new)), strict=True))
+        return np.array([known[x] for x in h.tolist()], dtype=np.int64)[back]
+
+    def encode(self, raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        """(ids as little-endian 32-bit integers, decoded UTF-8) of each text."""
+        if self.held() > REMEMBERED_BYTES:
+            self.forget()
+        words = Words(raw, off)
+        piece = self.numbers(words) if len(words) else np.zeros(0, np.int64)
+        out = []
+        for kind, flat, end in (("<u4", self.ids, self.ids_end), (np.uint8, self.text, self.text_end)):
+            edge = np.frombuffer(end, np.int64)
+            lo, hi = edge[piece], edge[piece + 1]
+            upto = np.concatenate([[0], np.cumsum(hi - lo)])[words.first]
+            out.append((np.frombuffer(flat, kind)[ranges(lo, hi)] if len(piece) else np.zeros(0, kind), upto))
+            del edge, lo, hi
+        (ids, at), (text, to) = out
+        for d in range(words.n_docs):
+            yield ids[at[d] : at[d + 1]].tobytes(), text[to[d] : max(to[d], to[d + 1] - 1)].tobytes()
 
 
 _LOADED: dict[str, PairIndexBPE] = {}
 
 
-def loaded(path: str) -> PairIndexBPE:
-    """The worker's tokenizer for a file; kept while the worker lives."""
-    if path not in _LOADED:
-        _LOADED[path] = PairIndexBPE(path)
-    return _LOADED[path]
+def loaded(file: bytes) -> PairIndexBPE:
+    """The worker's tokenizer for a file's content; kept while the worker lives."""
+    name = hashlib.sha256(file).hexdigest()
+    if name not in _LOADED:
+        _LOADED[name] = PairIndexBPE(file)
+    return _LOADED[name]
 
 
 def parts_of(text: bytes, limit: int) -> Iterator[bytes]:
@@ -241,21 +277,20 @@ class Digested:
             self.kept[1].append(text)
 
 
-def encoder(path: str, whole: bool, extra: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def encoder(file, whole: bool, extra: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Slices of whole texts of about ``SLICE_BYTES``, so memory follows bytes and not rows; a longer text goes through in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = loaded(file.value)
         for big in batches:
             raw, off = text_buffers(big.column("text"))
             for lo, hi in chunks(off, SLICE_BYTES):
-                texts = [raw[off[i] : off[i + 1]].tobytes() for i in range(lo, hi)]
-                out = [Digested(whole) for _ in texts]
-                if len(texts) == 1:
-                    for part in parts_of(texts[0], SLICE_BYTES):
-                        out[0].feed(*next(bpe.encode([part.split()])))
+                out = [Digested(whole) for _ in range(lo, hi)]
+                if hi - lo == 1:
+                    for part in parts_of(raw[off[lo] : off[hi]].tobytes(), SLICE_BYTES):
+                        out[0].feed(*next(bpe.encode(np.frombuffer(part, np.uint8), np.array([0, len(part)]))))
                 else:
-                    for one, (ids, text) in zip(out, bpe.encode([t.split() for t in texts]), strict=True):
+                    for one, (ids, text) in zip(out, bpe.encode(raw, off[lo : hi + 1]), strict=True):
                         one.feed(ids, text)
                 batch = big.slice(lo, hi - lo)
                 cols = [batch.column(c) for c in extra] + [pa.array([x.n for x in out], pa.int64()), pa.array([x.ids.hexdigest() for x in out], pa.string()), pa.array([x.text.hexdigest() for x in out], pa.string())]
@@ -271,8 +306,9 @@ def encoder(path: str, whole: bool, extra: list[str]) -> Callable[[Iterator[pa.R
 def bpe_encode(docs: DataFrame, path: str, whole: bool = False) -> DataFrame:
     """Encode every whole text, then decode the ids, as the tokenizers library does.
 
-    Returns doc_id, n_tokens, ids_sha256 and decoded_sha256; with ``whole``
-    also the ids and the decoded text.
+    ``path`` names the tokenizer's file on the driver.  Returns doc_id,
+    n_tokens, ids_sha256 and decoded_sha256; with ``whole`` also the ids and
+    the decoded text.
 
     A null or empty text has no tokens.  White space separates pieces and is
     dropped, so texts of white space alone have no tokens either.  Very long
@@ -286,4 +322,6 @@ def bpe_encode(docs: DataFrame, path: str, whole: bool = False) -> DataFrame:
         schema += ", ids array<int>, decoded string"
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(encoder(path, whole, ["doc_id"]), schema)
+    with open(path, "rb") as source:  # the driver's file; workers get its content
+        file = docs.sparkSession.sparkContext.broadcast(source.read())
+    return rows.mapInArrow(encoder(file, whole, ["doc_id"]), schema)
