@@ -38,15 +38,14 @@ def estimated(sketches: DataFrame) -> DataFrame:
     return sketches.withColumns({"distinct_estimate": F.hll_sketch_estimate("distinct_sketch"), "quantiles": values}).drop("distinct_sketch", "number_sketch")
 
 
-def rank_error(rows: DataFrame, estimates: DataFrame, by: str, number: str) -> DataFrame:
-    """How far the estimated quantiles' true ranks are from the asked ones, at most: exact, in one pass over the rows.
+def rank_error(rows: DataFrame, by: list[str], number: str) -> DataFrame:
+    """How far the true ranks of estimated quantiles (a column ``quantiles`` of ``rows``) are from the asked ones, at most: exact, in one pass.
 
-    ``estimates`` has a row for each value of ``by`` and one named 'all' for all
-    rows.  A value that fills a stretch of ranks is as near as its nearest rank.
+    A value that fills a stretch of ranks is as near as its nearest rank.
     """
-    known = estimates.select(by, "quantiles")  # as many rows as batches
-    both = rows.where(F.col(number).isNotNull()).withColumn(by, F.explode(F.array(F.col(by), F.lit("all")))).join(F.broadcast(known), by)
-    below = [F.avg((F.col(number) < F.col("quantiles")[i]).cast("double")).alias(f"lo{i}") for i in range(len(QUANTILES))]
-    upto = [F.avg((F.col(number) <= F.col("quantiles")[i]).cast("double")).alias(f"hi{i}") for i in range(len(QUANTILES))]
-    off = [F.greatest(F.col(f"lo{i}") - q, F.lit(q) - F.col(f"hi{i}"), F.lit(0.0)) for i, q in enumerate(QUANTILES)]
-    return both.groupBy(by).agg(*below, *upto).select(by, reduce(lambda a, b: F.greatest(a, b), off).alias("rank_error"))
+    q = F.col("quantiles")
+    known = rows.where(F.col(number).isNotNull())
+    below = [F.avg((F.col(number) < q[i]).cast("double")).alias(f"lo{i}") for i in range(len(QUANTILES))]
+    upto = [F.avg((F.col(number) <= q[i]).cast("double")).alias(f"hi{i}") for i in range(len(QUANTILES))]
+    off = [F.greatest(F.col(f"lo{i}") - x, F.lit(x) - F.col(f"hi{i}"), F.lit(0.0)) for i, x in enumerate(QUANTILES)]
+    return known.groupBy(*by).agg(*below, *upto).select(*by, reduce(lambda a, b: F.greatest(a, b), off).alias("rank_error"))

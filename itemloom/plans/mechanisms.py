@@ -211,18 +211,17 @@ def q_merged_formulas(t: Tables) -> DataFrame:
 
 
 @query("""
-select source, count(*) as n, sum(length(coalesce(text, '')))::bigint as chars, (select count(*) from documents) as committed, true as intact, true as remade, true as kept from documents group by 1
+select doc_id, length(coalesce(text, ''))::bigint as n, (select count(*) from documents) as committed, true as intact, true as remade, true as kept from documents
 """)
 def q_committed_table(t: Tables) -> DataFrame:
     """A committed table is read as its manifest says; rows without a manifest are no table and are made again."""
     path = fresh(t, "committed")
-    rows = t.documents.select("source", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    rows = t.documents.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
     rows.limit(1).write.parquet(f"{path}/data-cut-off")  # what a killed job leaves
     _, there = store.kept(t.spark, path, lambda: rows)
     again, kept = store.kept(t.spark, path, lambda: rows.limit(0))
     found = store.manifest_of(t.spark, path)
-    sums = again.groupBy("source").agg(F.count("*").alias("n"), F.sum("n").alias("chars"))
-    return sums.select("*", F.lit(found.rows).cast("long").alias("committed"), F.lit(store.intact(t.spark, path)).alias("intact"), F.lit(not there).alias("remade"), F.lit(kept).alias("kept"))
+    return again.select("*", F.lit(found.rows).cast("long").alias("committed"), F.lit(store.intact(t.spark, path)).alias("intact"), F.lit(not there).alias("remade"), F.lit(kept).alias("kept"))
 
 
 @query(f"""
@@ -238,21 +237,24 @@ def q_paced_calls(t: Tables) -> DataFrame:
 
 
 @query("""
-with d as (select doc_id % 8 as batch, text, n_chars from documents where text is not null)
-select 'all' as part, count(distinct md5(text)) as texts, true as texts_within, true as ranks_within from d
-union all select batch::varchar, count(distinct md5(text)), true, true from d group by batch
+with d as (select (doc_id // 1000)::bigint as part, text from documents where text is not null)
+select part, count(*) as n, count(distinct md5(text)) as texts, (select count(distinct md5(text)) from d) as all_texts, true as texts_within, true as ranks_within from d group by part
 """)
 def q_stored_sketches(t: Tables) -> DataFrame:
-    """Sketches of eight batches, stored and merged: distinct texts and quantiles of lengths within the stated error of the exact ones."""
-    rows = t.documents.where("text is not null").select((F.col("doc_id") % 8).alias("batch"), F.md5("text").alias("digest"), "n_chars")
+    """Sketches of batches of a hundred documents, stored, then merged by the thousand and in all: distinct texts and quantiles of lengths within the stated error of the exact ones."""
+    rows = t.documents.where("text is not null").select("doc_id", F.expr("doc_id div 100").alias("batch"), F.expr("doc_id div 1000").alias("part"), F.md5("text").alias("digest"), "n_chars")
     path = fresh(t, "sketches")
-    sinks.to_vector_store(sketches.sketched(rows, ["batch"], "digest", "n_chars"), path)
+    sinks.to_vector_store(sketches.sketched(rows, ["part", "batch"], "digest", "n_chars"), path)
     stored = t.spark.read.parquet(path)
-    parts = sketches.estimated(stored).withColumn("part", F.col("batch").cast("string")).drop("batch")
-    guess = sketches.estimated(sketches.merged(stored, [])).withColumn("part", F.lit("all")).unionByName(parts)
-    each = rows.groupBy(F.col("batch").cast("string").alias("part")).agg(F.count_distinct("digest").alias("texts"))
-    whole = rows.agg(F.count_distinct("digest").alias("texts")).select(F.lit("all").alias("part"), "texts")
-    ranks = sketches.rank_error(rows.withColumn("part", F.col("batch").cast("string")), guess, "part", "n_chars")
-    out = guess.join(each.unionByName(whole), "part").join(ranks, "part")
-    near = F.abs(F.col("distinct_estimate") - F.col("texts")) <= F.greatest(F.lit(2.0), sketches.DISTINCT_ERROR * F.col("texts"))
-    return out.select("part", "texts", near.alias("texts_within"), (F.col("rank_error") <= sketches.RANK_ERROR).alias("ranks_within"))
+    whole = sketches.estimated(sketches.merged(stored, [])).first()  # one row
+    every = rows.agg(F.count_distinct("digest").alias("n")).first()["n"]
+    spread = rows.withColumn("quantiles", F.lit(whole["quantiles"]))
+    whole_off = sketches.rank_error(spread, [], "n_chars").first()["rank_error"]
+    parts = sketches.estimated(sketches.merged(stored, ["part"]))
+    ranks = sketches.rank_error(rows.join(parts.select("part", "quantiles"), "part"), ["part"], "n_chars")
+    exact = rows.groupBy("part").agg(F.count_distinct("digest").alias("texts"))
+    out = parts.join(exact, "part").join(ranks, "part")
+    near = lambda guess, true: F.abs(guess - true) <= F.greatest(F.lit(2.0), sketches.DISTINCT_ERROR * true)
+    within = near(F.col("distinct_estimate"), F.col("texts")) & near(F.lit(whole["distinct_estimate"]), F.lit(every))
+    ranked = (F.col("rank_error") <= sketches.RANK_ERROR) & F.lit(whole_off <= sketches.RANK_ERROR)
+    return out.select("part", "n", "texts", F.lit(every).cast("long").alias("all_texts"), within.alias("texts_within"), ranked.alias("ranks_within"))
