@@ -49,14 +49,15 @@ def connected_components(edges: DataFrame, staged: Staged) -> DataFrame:
         low = low_kept = staged.put(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c"))
         hubs = low.where(F.col("c") * HEAVY > 2 * before[0])
         large = spread_join(both.where("v > u"), low.drop("c"), ["u"], hubs).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(now.groupBy("u").agg(F.min("v").alias("v"))).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = staged.put(large.union(now.groupBy("u").agg(F.min("v").alias("v"))).where("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        hubs = low.where(F.col("c") * HEAVY > 2 * before[0])
+        small = spread_join(large, low.drop("c"), ["u"], hubs).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v"))).where("u <> v")
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         new = staged.put(small)
         after = state(new)
-        staged.drop(now, low_kept)
+        staged.drop(now, low_kept, large)
         now = new
         if after == before:
             break
