@@ -10,8 +10,9 @@ read again.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import shared_folder
@@ -39,6 +40,22 @@ def numbered(rows: DataFrame, name: str = "nth") -> DataFrame:
     return out.select(*rows.columns, (F.col("before_") + inside).alias(name))
 
 
+def ranked(rows: DataFrame, by: list[str], cell: Column, order: list[Column | str], name: str = "nth") -> DataFrame:
+    """Rows with their position (from 0) among those of the same keys, without one task for a whole key.
+
+    ``cell`` must grow with the order: rows are ranked inside (keys, cell), and
+    the sizes of the cells before are added.  Only those sizes meet by key.
+    """
+    placed = rows.withColumn("cell_", cell)
+    sizes = placed.groupBy(*by, "cell_").agg(F.count("*").alias("c_"))
+    over = Window.partitionBy(*by).orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(c).alias(f"{c}_b") for c in by], F.col("cell_").alias("cell_b"), F.coalesce(F.sum("c_").over(over), F.lit(0)).alias("before_"))
+    inside = F.row_number().over(Window.partitionBy(*by, "cell_").orderBy(*order)) - 1
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_b")) for c in by] + [F.col("cell_").eqNullSafe(F.col("cell_b"))]
+    joined = placed.withColumn("inside_", inside).join(sizes, reduce(lambda a, b: a & b, same))
+    return joined.select(*rows.columns, (F.col("before_") + F.col("inside_")).cast("long").alias(name))
+
+
 def zip_rows(left: DataFrame, right: DataFrame, name: str = "nth") -> DataFrame:
     """The i-th row of one side beside the i-th of the other; what the longer side has left over falls out.
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ordinal import ranked
+
 # Sizes of a paper and shares of the difficulties.
 PER_TYPE = {"mcq": 20, "integer": 10}
 PRESETS = {
@@ -17,6 +19,10 @@ PRESETS = {
 }
 
 
+#: Rows of a quota table that is broadcast; a longer one is joined as Spark sees fit.
+SMALL = 10_000
+
+
 def quotas(spark: SparkSession, preset: str = "medium") -> DataFrame:
     """L2: (question_type, difficulty, quota); what rounding leaves over goes to medium."""
     shares = PRESETS.get(preset, PRESETS["medium"])
@@ -41,12 +47,15 @@ def quota_sample(items: DataFrame, quota: DataFrame, seed: int, key: list[str],
     """
     on = ["question_type", "difficulty"]
     cells = Window.partitionBy(*strata, *on).orderBy(shuffled(seed, *key), *key)
-    rows = items.join(F.broadcast(quota), on).withColumn("nth", F.row_number().over(cells))
+    most, count = quota.agg(F.coalesce(F.max("quota"), F.lit(0)), F.count("*")).first()
+    small = lambda df: F.broadcast(df) if count <= SMALL else df
+    rows = items.join(small(quota), on).withColumn("nth", F.row_number().over(cells))
     if not backfill:
-        return rows.where("nth <= quota").drop("nth", "quota")
+        # the literal bound lets each task drop what can't rank before anything is shuffled
+        return rows.where(F.col("nth") <= int(most)).where("nth <= quota").drop("nth", "quota")
     sizes = quota.groupBy("question_type").agg(F.sum("quota").alias("size"))
     over = Window.partitionBy(*strata, "question_type").orderBy((F.col("nth") > F.col("quota")).cast("int"), shuffled(seed, *key), *key)
-    rows = rows.join(F.broadcast(sizes), "question_type").withColumn("place", F.row_number().over(over))
+    rows = rows.join(small(sizes), "question_type").withColumn("place", F.row_number().over(over))
     return rows.where("place <= size").drop("nth", "quota", "place", "size")
 
 
@@ -79,16 +88,16 @@ def pool_without(pool: DataFrame, selected: DataFrame, keys: list[str]) -> DataF
 def replaced(selected: DataFrame, pool: DataFrame, seed: int, keys: list[str], strata: list[str]) -> DataFrame:
     """The i-th discarded row of a stratum takes the i-th spare row; without one it stays. All then count as 'rephrase'.
 
-    Ranked inside strata, so no window runs over the whole table.  A row
+    Ranked inside stretches of a stratum, so none meets in one task.  A row
     without an action is kept.  ``selected`` is read twice (its rows, and its
     keys against the pool): stage it where making it twice would differ.
     """
-    spare = pool_without(pool, selected, keys)
-    nth = lambda salt: F.row_number().over(Window.partitionBy(*strata).orderBy(shuffled(salt, *keys), *keys))
+    spare = pool_without(pool, selected, keys).select(*strata, F.struct(*[c for c in pool.columns]).alias("new"), *[F.col(k).alias(f"k{i}_") for i, k in enumerate(keys)], shuffled(f"{seed}p", *keys).alias("o_"))
     gone = F.col("action").eqNullSafe(F.lit("discard"))
-    among = F.row_number().over(Window.partitionBy(*strata, gone).orderBy(shuffled(f"{seed}d", *keys), *keys))
-    left = selected.withColumn("nth", F.when(gone, among))
-    right = spare.select(*strata, nth(f"{seed}p").alias("nth"), F.struct(*[c for c in pool.columns]).alias("new"))
+    cell = F.substring("o_", 1, 3)  # 4,096 stretches of a stratum
+    left = selected.withColumns({"gone_": gone, "o_": shuffled(f"{seed}d", *keys)})
+    left = ranked(left, [*strata, "gone_"], cell, ["o_", *keys]).withColumn("nth", F.when(F.col("gone_"), F.col("nth"))).drop("gone_", "o_")
+    right = ranked(spare, strata, cell, ["o_", *[f"k{i}_" for i in range(len(keys))]]).select(*strata, "nth", "new")
     filled = left.join(right, [*strata, "nth"], "left").withColumn("replaced", F.col("new").isNotNull())
     action = F.when(gone, F.lit("rephrase")).otherwise(F.col("action")).alias("action")
     cols = [F.coalesce(F.col("new")[c], F.col(c)).alias(c) if c in pool.columns else F.col(c) for c in selected.columns if c != "action"]

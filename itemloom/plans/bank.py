@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, prompts, textnorm
-from ..operators import answers, classify, filters, sampling, stats
+from ..operators import answers, classify, filters, ordinal, sampling, stats
 from .registry import WHITE, Tables, query
 
 # Keyword tables that occur in the test documents (fixed values for these queries).
@@ -75,14 +75,14 @@ def q_normalize_documents(t: Tables) -> DataFrame:
 
 
 @query(rf"""
-select doc_id, md5(regexp_replace(case doc_id % 5 when 0 then text || '  MathonGo x' when 1 then text || ' see HTTPS://a.b' when 2 then 'A  jee main 2024 b' else text end,
+select doc_id, md5(regexp_replace(case doc_id % 5 when 0 then text || '  MathonGo x' when 1 then text || ' see HTTPS://a.b' when 2 then left(text, 9) || '  jee main 2024 b' || text else text end,
        '(?is)[{WHITE}]*(?:JEE Main 2024|JEE Main 2025|MathonGo|https://|www\.).*', '')) as h
 from documents
 """)
 def q_strip_junk(t: Tables) -> DataFrame:
     """Text cut at the earliest marker."""
     k = F.col("doc_id") % 5
-    marked = F.when(k == 0, F.concat("text", F.lit("  MathonGo x"))).when(k == 1, F.concat("text", F.lit(" see HTTPS://a.b"))).when(k == 2, F.lit("A  jee main 2024 b")).otherwise(F.col("text"))
+    marked = F.when(k == 0, F.concat("text", F.lit("  MathonGo x"))).when(k == 1, F.concat("text", F.lit(" see HTTPS://a.b"))).when(k == 2, F.concat(F.left("text", F.lit(9)), F.lit("  jee main 2024 b"), "text")).otherwise(F.col("text"))
     return t.documents.select("doc_id", F.md5(textnorm.strip_junk(marked)).alias("h"))
 
 
@@ -254,8 +254,8 @@ select source, (rn // 10)::bigint as batch, count(*) as n, sum(length(t))::bigin
 """)
 def q_prompt_batches(t: Tables) -> DataFrame:
     """Items in batches of ten with bounded text."""
-    rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    r = t.documents.select("source", "doc_id", F.floor(rn / 10).cast("long").alias("batch"), prompts.prompt_row("text", F.array().cast("array<string>")).text.alias("t"))
+    placed = ordinal.ranked(t.documents, ["source"], F.expr("doc_id div 1024"), ["doc_id"], "rn")
+    r = placed.select("source", "doc_id", F.expr("rn div 10").alias("batch"), prompts.prompt_row("text", F.array().cast("array<string>")).text.alias("t"))
     return r.groupBy("source", "batch").agg(F.count("*").alias("n"), F.sum(F.length("t").cast("long")).alias("chars"), F.min("doc_id").alias("first_id"))
 
 
@@ -266,7 +266,7 @@ union all select 'benchmark', count(*), count(distinct text) from benchmark
 def q_union_papers(t: Tables) -> DataFrame:
     """U1, U2, U4."""
     both = sampling.union_all(t.documents.select(F.col("source").alias("source_file"), "text"), t.benchmark.select(F.lit("benchmark").alias("source_file"), "text"))
-    return both.groupBy("source_file").agg(F.count("*").alias("n"), F.count_distinct("text").alias("different"))
+    return both.groupBy("source_file").agg(F.count("*").alias("n"), F.count_distinct(F.sha2("text", 256)).alias("different"))
 
 
 @query("""

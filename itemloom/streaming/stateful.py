@@ -20,6 +20,11 @@ from pyspark.sql.types import StructType
 from ..operators.enrich import BATCH, Provider
 from ..shared import Store
 
+#: Settings of the state store that a session gets unless it has its own: on disk, with one bound for all stores of an executor.
+STATE = {
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+}
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TAGGED = "paper_id string, item string, subject string, topic string, difficulty string, tag_status string, tries int"
 FIELDS = [f.split()[0] for f in TAGGED.split(", ")]
@@ -100,6 +105,9 @@ def tagging(stream: DataFrame, provider: Provider, key: list[str], text: str = "
     spark = stream.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    for name, value in STATE.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     rows = stream.select("paper_id", F.to_json(F.struct(*key)).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     with by_value():
         return rows.groupBy("paper_id").transformWithStateInPandas(Tagging(provider, **settings), StructType.fromDDL(TAGGED), "Append", "ProcessingTime")
