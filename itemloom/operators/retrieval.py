@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rewrite import as_column, let
+from .dominance import met_by
+from .ordinal import written
 
 
 def squared_distance(a: str | Column, b: str | Column) -> Column:
@@ -150,16 +152,15 @@ def overlapping(boxes: DataFrame, size: float = 10.0) -> DataFrame:
     return pairs.where(boxes_overlap(F.col("l.box"), F.col("r.box"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
 
 
-def overlap_counts(boxes: DataFrame, size: float = 10.0) -> DataFrame:
-    """(id, n): how many other boxes each box meets, 0 if none.
+def overlap_counts(boxes: DataFrame) -> DataFrame:
+    """(id, n): how many other boxes each box meets, 0 if none, without listing a pair (``dominance``).
 
-    Equal boxes are one weighted box, so a large group of them is not paired
-    among itself.
+    Equal boxes are one weighted box.  A box with a null or NaN bound, or with
+    its bounds in the wrong order, meets none.
     """
-    same = boxes.groupBy("box").agg(F.min("id").alias("id"), F.count("*").alias("w"))
-    pairs = overlapping(same.select("id", "box"), size)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(same.select(F.col("id").alias("b"), "w"), "b").groupBy("a").agg(F.sum("w").alias("others"))
-    whole = boxes_overlap(F.col("box"), F.col("box"))
-    own = same.join(others, F.col("id") == F.col("a"), "left").select(F.col("box").alias("own"), (F.coalesce("others", F.lit(0)) + F.when(whole, F.col("w") - 1).otherwise(0)).alias("n"))
-    return boxes.join(own, F.col("box").eqNullSafe(F.col("own"))).select("id", "n")
+    b = F.col("box")
+    whole = F.coalesce((b.x0 <= b.x1) & (b.y0 <= b.y1) & ~F.isnan(b.x1.cast("double")) & ~F.isnan(b.y1.cast("double")), F.lit(False))
+    same = written(boxes.where(whole).groupBy("box").agg(F.count("*").alias("w")).withColumn("k", F.monotonically_increasing_id()), "boxes")
+    met = met_by(same.select(F.col("k").alias("id"), *[b[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "w"))
+    own = same.join(met, same.k == met.id).select(F.col("box").alias("own"), (F.col("n") - 1).alias("n"))
+    return boxes.join(own, F.col("box").eqNullSafe(F.col("own")), "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -7,12 +7,13 @@ import re
 import threading
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from itemloom import jobs
 from itemloom.functions import contract, latex
-from itemloom.operators import answers, calls, enrich, ordinal, ranges
+from itemloom.operators import answers, calls, dominance, enrich, ordinal, ranges, retrieval
 from itemloom.shared import Store
 from itemloom.sources import converted, files, store
 from itemloom.streaming import resume, stateful
@@ -468,3 +469,32 @@ def test_any_number_of_formulas_merge(spark):
     got = dict(df.select("i", latex.merge_formulas("t")).collect())
     for i, t in enumerate(texts):
         assert got[i] == fixpoint(t), t
+
+
+# --- boxes that meet ---
+
+
+def test_merge_counting_agrees_with_pairs():
+    rng = np.random.default_rng(3)
+    for n, m, top in ((0, 5, 3), (1, 4, 2), (37, 50, 9), (400, 300, 1000)):
+        x, y, w = rng.integers(0, top, n).astype(float), rng.integers(0, top, n).astype(float), rng.integers(1, 5, n)
+        qx, qy = rng.integers(-1, top + 2, m).astype(float), rng.integers(-1, top + 2, m).astype(float)
+        want = [int(w[(x < a) & (y < b)].sum()) for a, b in zip(qx, qy, strict=True)]
+        assert dominance.merge_counts(x, y, w, qx, qy).tolist() == want
+
+
+@pytest.mark.parametrize(("least", "strips"), [(4_096, 1_024), (20, 9)])
+def test_dense_and_hot_boxes_are_counted_without_pairs(spark, monkeypatch, least, strips):
+    monkeypatch.setattr(dominance, "LEAST", least)
+    monkeypatch.setattr(dominance, "STRIPS", strips)
+    rng = np.random.default_rng(5)
+    low = np.concatenate([rng.integers(0, 12, (200, 2)), rng.normal(5, 3, (100, 2)), np.column_stack([np.zeros(120), rng.normal(0, 4, 120)]), np.tile([[3.0, 3.0]], (80, 1))])
+    high = low + np.concatenate([rng.integers(0, 4, (200, 2)), rng.exponential(1, (100, 2)), rng.exponential(2, (120, 2)), np.ones((80, 2))])
+    boxes = [(i, float(a[0]), float(a[1]), float(b[0]), float(b[1])) for i, (a, b) in enumerate(zip(low, high, strict=True))]
+    boxes += [(1000, None, 0.0, 1.0, 1.0), (1001, 5.0, 0.0, 4.0, 1.0), (1002, float("nan"), 0.0, 1.0, 1.0), (1003, 0.0, 0.0, float("nan"), 1.0), (None, 3.0, 3.0, 4.0, 4.0)]
+    df = spark.createDataFrame(boxes, "id long, x0 double, y0 double, x1 double, y1 double").select("id", F.struct("x0", "x1", "y0", "y1").alias("box")).repartition(3)
+    good = lambda b: None not in b[1:] and b[1] <= b[3] and b[2] <= b[4]
+    meet = lambda a, b: a is not b and good(a) and good(b) and not (a[3] < b[1] or b[3] < a[1] or a[4] < b[2] or b[4] < a[2])
+    want = sorted(((b[0], sum(meet(a, b) for a in boxes)) for b in boxes), key=str)
+    assert sorted(map(tuple, retrieval.overlap_counts(df).collect()), key=str) == want
+    assert retrieval.overlap_counts(df.limit(0)).count() == 0
