@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -53,29 +54,135 @@ def best_of_cell(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def nearest_batch(store: DataFrame, queries: DataFrame, k: int = 5, most_queries: int = 10_000, most_rows: int = 8_192) -> DataFrame:
+#: Vectors that pivots are taken from and first bounds are read off, those of smallest hash, and pivots among them, at most.
+SAMPLE = 4_096
+PIVOTS = 128
+
+
+@dataclass
+class Pivots:
+    """Sampled vectors by dimension; the first of them are pivots, around which the vectors are sharded."""
+
+    sample: dict[int, np.ndarray]
+
+    def of(self, dim: int) -> np.ndarray:
+        held = self.sample.get(dim)
+        return held[: min(PIVOTS, max(1, len(held) // 8))] if held is not None else np.zeros((0, dim))
+
+    @staticmethod
+    def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d2 = (x * x).sum(axis=1)[:, None] - 2 * (x @ y.T) + (y * y).sum(axis=1)[None, :]
+        return np.sqrt(np.maximum(d2, 0))
+
+    def placed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(nearest pivot, distance to it) of each vector."""
+        d = self.distances(x, self.of(x.shape[1]))
+        at = d.argmin(axis=1)
+        return at.astype(np.int32), d[np.arange(len(x)), at]
+
+    def reachable(self, q: np.ndarray, k: int, inner: np.ndarray, outer: np.ndarray) -> list[np.ndarray]:
+        """For each query the pivots whose vectors (between ``inner`` and ``outer`` from the pivot) may be among its k nearest.
+
+        The k-th distance within the sample bounds the true one from above; by
+        the triangle inequality no vector of a pivot is nearer than the
+        query's distance to the pivot is from its ring.
+        """
+        sample, pivots = self.sample[q.shape[1]], self.of(q.shape[1])
+        out = []
+        for lo in range(0, len(q), 256):
+            some = q[lo : lo + 256]
+            near = self.distances(some, sample)
+            most = np.partition(near, k - 1, axis=1)[:, k - 1] if len(sample) >= k else np.full(len(some), np.inf)
+            d = near[:, : len(pivots)]
+            least = np.maximum(d - outer[None, :], inner[None, :] - d)
+            slack = 1e-6 * (1 + d)  # distances are rounded; a shard too many costs nothing but time
+            out += [np.flatnonzero(r) for r in (least <= most[:, None] + slack) & np.isfinite(outer)[None, :]]
+        return out
+
+
+def by_dimension(dims: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    for d in np.unique(dims).tolist():
+        yield d, np.flatnonzero(dims == d)
+
+
+def stacked(column: pa.Array, at: np.ndarray) -> np.ndarray:
+    return np.stack(column.take(pa.array(at)).to_numpy(zero_copy_only=False))
+
+
+def nearest_batch(store: DataFrame, queries: DataFrame, k: int = 5, most_queries: int = 10_000, most_rows: int = 8_192, report: dict | None = None) -> DataFrame:
     """L5 for several queries (query_id, query), however many: k nearest of each, with d2 and rank.
 
-    A grid of shards of about ``most_rows`` vectors and blocks of about
-    ``most_queries`` queries; each cell gives the k best of its shard.  Vectors
-    meet queries of the same dimension; those that are null or empty or hold
-    null or non-finite components have no distance and take no part.
+    Vectors are sharded around pivots, and a query goes to those shards alone
+    that can hold one of its k nearest (exactly: what is left out is proven to
+    be farther).  Shards of more than about ``most_rows`` vectors are split,
+    queries go in blocks of about ``most_queries``.  ``report`` gets the number
+    of ``shards``, and of visits that were ``possible`` and ``made``.
+
+    Vectors meet queries of the same dimension; those that are null or empty or
+    hold null or non-finite components have no distance and take no part.
     """
     from ..shipping import ship
 
-    ship(store.sparkSession)
+    spark = store.sparkSession
+    ship(spark)
 
     def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
         rows = df.select(key, F.col(vector).cast("array<double>").alias("v")).where(F.size("v") > 0)
         return rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).withColumn("dim", F.size("v"))
 
     rows, asked = usable(store, "vec_id", "embedding"), usable(queries, "query_id", "query")
-    shards, blocks = max(1, -(-rows.count() // most_rows)), max(1, -(-asked.count() // most_queries))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
-    left = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("block", every(blocks))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", every(shards))
+    sample: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect():
+        sample.setdefault(len(r["v"]), []).append(r["v"])
+    sent = spark.sparkContext.broadcast(Pivots({d: np.array(v) for d, v in sample.items()}))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pivot, away = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
+            for d, at in by_dimension(batch.column("dim").to_numpy()):
+                if d in sent.value.sample:
+                    pivot[at], away[at] = sent.value.placed(stacked(batch.column("v"), at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(away)], names=[*batch.schema.names, "pivot", "away"])
+
     kinds = [store.schema["vec_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()]
-    on = ["dim", "shard", "block"]
+    placed = written(rows.mapInArrow(place, f"vec_id {kinds[0]}, v array<double>, dim int, pivot int, away double"), "placed")
+    shards = placed.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.min("away").alias("inner"), F.max("away").alias("outer")).collect()  # PIVOTS for each dimension
+    known = {(r["dim"], r["pivot"]): r for r in shards}
+    parts = {key: max(1, -(-r["n"] // most_rows)) for key, r in known.items()}
+    table = spark.sparkContext.broadcast((known, parts))
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each query and shard that it must see."""
+        known, parts = table.value
+        for batch in batches:
+            of, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for d, at in by_dimension(batch.column("dim").to_numpy()):
+                rest = [(-1, np.arange(len(at)))] if (d, -1) in known else []
+                if d in sent.value.sample:
+                    count = len(sent.value.of(d))
+                    ring = np.array([(known[d, p]["inner"], known[d, p]["outer"]) if (d, p) in known else (0, np.inf) for p in range(count)])
+                    found = sent.value.reachable(stacked(batch.column("v"), at), k, ring[:, 0], ring[:, 1])
+                    of.append(at[np.repeat(np.arange(len(at)), [len(f) for f in found])])
+                    to.append(np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int32))
+                for p, some in rest:
+                    of.append(at[some])
+                    to.append(np.full(len(some), p, np.int32))
+            of, to = np.concatenate(of), np.concatenate(to)
+            again = batch.take(pa.array(of))
+            n = pa.array(np.array([parts[d, p] for d, p in zip(again.column("dim").to_pylist(), to.tolist(), strict=True)], np.int32))
+            yield pa.RecordBatch.from_arrays([*again.columns, pa.array(to), n], names=[*again.schema.names, "pivot", "parts"])
+
+    blocks = max(1, -(-asked.count() // most_queries))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    sizes = F.create_map(*[F.lit(x) for key, n in parts.items() if n > 1 for x in (f"{key[0]}:{key[1]}", n)]) if any(n > 1 for n in parts.values()) else F.lit(None).cast("map<string,int>")
+    own = F.coalesce(sizes[F.concat_ws(":", "dim", "pivot")], F.lit(1))
+    left = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), own)).withColumn("block", every(F.lit(blocks))).drop("away")
+    right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).mapInArrow(visits, f"query_id {kinds[1]}, v array<double>, dim int, block bigint, pivot int, parts int")
+    if report is not None:
+        total = asked.groupBy("dim").count().collect()
+        report |= {"shards": len(known), "possible": sum(r["count"] * sum(d == r["dim"] for d, _ in known) for r in total), "made": right.count()}
+    right = right.withColumn("part", every(F.col("parts"))).drop("parts")
+    on = ["dim", "pivot", "part", "block"]
     found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(best_of_cell(k), f"query_id {kinds[1]}, vec_id {kinds[0]}, d2 double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -2,6 +2,7 @@
 
 import http.server
 import json
+import math
 import random
 import re
 import threading
@@ -498,3 +499,25 @@ def test_dense_and_hot_boxes_are_counted_without_pairs(spark, monkeypatch, least
     want = sorted(((b[0], sum(meet(a, b) for a in boxes)) for b in boxes), key=str)
     assert sorted(map(tuple, retrieval.overlap_counts(df).collect()), key=str) == want
     assert retrieval.overlap_counts(df.limit(0)).count() == 0
+
+
+# --- pruned search ---
+
+
+def test_shards_that_cannot_hold_a_neighbour_are_left_out(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 10, (25, 6))
+    x = centres[rng.integers(0, 25, 2500)] + rng.normal(0, 0.3, (2500, 6))
+    x[2400:2440] = x[7]  # ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, [1.0, 2.0]), (5001, [1.0, 3.0]), (5002, None), (5003, [float("nan")] * 6)]
+    store_df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = [(i, x[i * 31].tolist()) for i in range(60)] + [(100, (centres[3] + 40).tolist()), (101, [0.0, 0.0]), (102, None), (103, [0.0] * 3)]
+    queries = spark.createDataFrame(asked, "query_id long, query array<double>")
+    report = {}
+    got = {(r.query_id, r.rank): (r.vec_id, round(r.d2, 9)) for r in retrieval.nearest_batch(store_df, queries, 5, most_queries=20, most_rows=40, report=report).collect()}
+    want = {}
+    for q, v in asked:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(v, y, strict=True)), i) for i, y in rows if v and y and len(y) == len(v) and not math.isnan(y[0]))[:5]
+        want |= {(q, n + 1): (i, round(d, 9)) for n, (d, i) in enumerate(near)}
+    assert got == want
+    assert report["made"] < 0.25 * report["possible"] and report["shards"] > 50
