@@ -7,4 +7,4 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-from . import bank, mechanisms, more, own, papers  # noqa: E402, F401
+from . import bank, mechanisms, more, own, papers, ruled  # noqa: E402, F401
