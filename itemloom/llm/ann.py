@@ -238,7 +238,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where("norm2 > 0")
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, exact: bool = False) -> DataFrame:
     """The k nearest vectors by inner product of every row whose vec_id is divisible by ``every``.
 
     Returns query_id, rank (from 1), vec_id and score (double precision, on
@@ -249,8 +249,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     vec_id that repeats is one candidate (its nearest row) and one query for
     each different vector, merged; a query is never its own neighbour.  With
     fewer than k candidates all are returned: a query whose radius held fewer
-    than k is searched once more without one.  An empty table gives an empty
-    table; other columns are not read.
+    than k is searched once more without one.  With ``exact`` no query has a
+    radius, so every code is retrieved and the result is the true one.  An
+    empty table gives an empty table; other columns are not read.
     """
     spark = vectors.sparkSession
     staged = Staged(spark, "ann")
@@ -279,6 +280,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
     asked = rows.where(F.col("vec_id") % every == 0)
+    if exact:
+        return best(asked.withColumn("radius", F.lit(BITS)))
     out = staged.put(best(asked.mapInArrow(with_radius, StructType([*asked.schema.fields, StructField("radius", IntegerType())]))))
     full = out.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= min(k, stats["ids"] - 1)).select(F.col("query_id").alias("vec_id"))
     short = staged.put(asked.join(full, "vec_id", "left_anti"))

@@ -341,3 +341,18 @@ def test_near_copies_of_a_repeated_id_go(spark):
             assert len(found) == 2 and sum(i == 5 for i, _ in found) == 1 and (None, a) in found
         else:
             assert found == sorted(want, key=str)
+
+
+def test_exact_search_finds_all(spark):
+    from itemloom.llm import ann
+
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(900, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.nearest(df, every=30, k=10, exact=True).collect()}
+    want = {}
+    for q in range(0, 900, 30):
+        s = (x * x[q]).sum(axis=1)
+        order = [i for i in np.lexsort((np.arange(900), -s)) if i != q][:10]
+        want |= {(q, n + 1): int(i) for n, i in enumerate(order)}
+    assert got == want
