@@ -356,3 +356,61 @@ def test_exact_search_finds_all(spark):
         order = [i for i in np.lexsort((np.arange(900), -s)) if i != q][:10]
         want |= {(q, n + 1): int(i) for n, i in enumerate(order)}
     assert got == want
+
+
+def figures_by_hand(text):
+    """The content view of one text, counted byte by byte and word by word."""
+    from itemloom.llm import quality, words
+
+    raw = (text or "").encode()
+    size = max(1, len(raw))
+    kinds = [bytes(range(65, 91)), b"0123456789", bytes([*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]), b"\n"]
+    found = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+    n = max(1, len(found))
+    different = len(set(found))
+    out = [sum(c in k for c in raw) / size for k in kinds]
+    out += [sum(a == b for a, b in zip(found, found[1:], strict=False)) / n, different / n, math.log1p(different) / math.log1p(n), sum(map(len, found)) / n, math.log1p(len(found))]
+    bins = [0.0] * quality.LEXICAL
+    for w in found:
+        h = int(words.Words(np.frombuffer(w, np.uint8), np.array([0, len(w)]), np.zeros(256, bool)).hashes()[0])
+        bins[h % quality.LEXICAL] += quality.WEIGHT / n
+    return np.array(out + bins, dtype=np.float32).astype(np.float64)
+
+
+def places_by_hand(source, lang, n):
+    from itemloom.llm import quality
+
+    return [zlib.crc32(x.encode()) % quality.META for x in (f"s{source}", f"l{lang}", f"n{-1 if n is None else n.bit_length()}")]
+
+
+def test_quality_scores_by_hand_and_without_leaks(spark):
+    from itemloom.llm import quality
+    from itemloom.llm.toxicity import held_out
+
+    rng = random.Random(41)
+    rows = []
+    for i in range(420):
+        t = " ".join(rng.choice(["alpha", "beta", "gamma", "É", "x1"]) + str(rng.randint(0, 30)) for _ in range(rng.randint(0, 60)))
+        rows.append((i, t.upper().replace(" ", "!! \n") if i % 4 == 0 else t, rng.choice(["en", None]), rng.choice(["s1", "s2", None]), rng.choice([None, len(t)])))
+    rows += [(900, None, None, None, None), (901, "", "en", "s1", 0), (902, " \t", "en", "s1", 2), rows[3], (None, rows[4][1], "en", "s1", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    known = [(i, int(i % 4 > 0), 0) for i in range(300)]
+    labels = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    got = Counter((r.doc_id, round(r.score, 9)) for r in quality.quality(docs, labels).collect())
+    staged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang", "n_chars").withColumn("held_out", held_out()).mapInArrow(quality.figures, quality.ROW).cache()
+    model = quality.fit_quality(staged, labels)
+    want = Counter()
+    for i, text, lang, source, n in rows:
+        x, view = figures_by_hand(text), model.views[0]
+        z, at = view.weights[-1], quality.LEXICAL
+        z += float(x[quality.FIGURES :] @ view.weights[: quality.LEXICAL])
+        for j, edge in enumerate(view.edges):
+            z += view.weights[at + sum(e <= x[j] for e in edge)]
+            at += len(edge) + 1
+        m = model.views[1].weights[-1] + sum(model.views[1].weights[p] for p in places_by_hand(source, lang, n))
+        want[(i, round(1 / (1 + math.exp(-max(-50, min(50, z * model.blend[0] + m * model.blend[1] + model.blend[2])))), 9))] += 1
+    off = [(a, b) for a, b in zip(sorted(got.elements(), key=str), sorted(want.elements(), key=str), strict=True) if a[0] != b[0] or abs(a[1] - b[1]) > 1e-5]
+    assert not off, off[:3]
+    flipped = spark.createDataFrame([(i, 1 - q if zlib.crc32(str(i).encode()) % 3 == 1 else q, t) for i, q, t in known], "doc_id long, quality int, toxic int")
+    assert Counter((r.doc_id, round(r.score, 9)) for r in quality.quality(docs, flipped).collect()) == got
+    assert {round(r.score, 6) for r in quality.quality(docs, labels.where("quality = 1")).collect()} == {1.0}
