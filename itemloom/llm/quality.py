@@ -205,11 +205,12 @@ def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *arrays], names=["doc_id", "held_out", "content", "meta"])
 
 
-def fit_quality(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CoTrained:
-    """From rows of figures."""
+def fit_quality(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE, staged: Staged | None = None) -> CoTrained:
+    """From rows of figures; ``staged`` keeps the unlabelled ones, so that they are told apart once and not in every round."""
     known = labelled_sample(rows, labels, "quality", sample).orderBy(F.xxhash64("doc_id"), "doc_id", F.hash("content")).toArrow()
     named = labels.select("doc_id").where("doc_id is not null").distinct()
     pool = rows.where("doc_id is not null").join(named, "doc_id", "left_anti").select(*rows.columns)
+    pool = staged.put(pool) if staged else pool
     return cotrain(read(known), np.array(known.column("y").to_pylist(), dtype=np.int64), pool)
 
 
@@ -229,7 +230,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataF
     staged = Staged(docs.sparkSession, "quality")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
     rows = staged.put(docs.withColumn("held_out", held_out()).mapInArrow(figures, ROW))
-    model = docs.sparkSession.sparkContext.broadcast(fit_quality(rows, labels))
+    model = docs.sparkSession.sparkContext.broadcast(fit_quality(rows, labels, staged=staged))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
