@@ -12,11 +12,15 @@ def as_column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: An edge of a word of ASCII letters, digits and '_'. Java's own \b counts letters and marks of all scripts (before version 19), though \w does not.
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
 def rewrite(c: str | Column, rules: Iterable[tuple[str, str]], unicode: bool = False) -> Column:
     """Apply (pattern, replacement) rules in order; ``unicode`` lets \\s, \\d, \\w and \\b see all of Unicode."""
     out = as_column(c)
     for pattern, replacement in rules:
-        out = F.regexp_replace(out, ("(?U)" if unicode else "") + pattern, replacement)
+        out = F.regexp_replace(out, "(?U)" + pattern if unicode else pattern.replace(r"\b", EDGE), replacement)
     return out
 
 
@@ -31,7 +35,7 @@ def let(c: str | Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: str | Column, unicode: bool = True) -> Column:
     """Trim every kind of white space, not only U+0020."""
-    return rewrite(c, [(r"^\s+|\s+$", "")], unicode)
+    return rewrite(c, [(r"^\s+|\s+\z", "")], unicode)
 
 
 def first_group(c: str | Column, pattern: str, group: int = 1) -> Column:

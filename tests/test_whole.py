@@ -229,3 +229,11 @@ def test_whole_texts_are_normalised(spark, tmp_path):
         if text is not None:
             want = plain_normal(f"{text} {i}{bank.PHRASE}")
             assert got[i] == (len(want), hashlib.md5(want.encode()).hexdigest()), i
+
+
+def test_letters_of_other_scripts_end_a_word(spark, tmp_path):
+    texts = ["5mé 2 3 mß", "é1 2 m", "ü12 34, 7kgé", "5ḿ 1́ 2 N", "øsin 30 sin 30é", "٣1 2 R中", "4 5é; 4 5;"]
+    docs = list(enumerate(texts))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.h for r in plans.QUERIES["q_normalize_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5(plain_normal(f"{text} {i}{bank.PHRASE}").encode()).hexdigest() for i, text in docs}
