@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.prompts import digit_answer, finish_stem, letter_answer
@@ -12,6 +12,7 @@ from .classify import by_priority, by_score, type_by_text
 
 START = r"(?U)^Q\s*\.?\s*(\d+)\s*[).:-]?$"
 MARKER = r"^\(([1-4])\)$"
+TASKS = 200
 
 
 def joined(entry: Column, when: Column, sep: str) -> Column:
@@ -19,47 +20,66 @@ def joined(entry: Column, when: Column, sep: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, entry))), lambda x: x.text), sep)
 
 
+def texts(entries: Column) -> Column:
+    """Texts of entries that are in order, as one."""
+    return F.array_join(F.transform(entries, lambda x: x.text), " ")
+
+
+def tasks(spark: SparkSession) -> int:
+    """Parts that papers are dealt to: ``TASKS``, or more where the session has more.
+
+    A number of its own, since spans are short and pack so well that Spark
+    would put millions of them into one task by their size on the wire.
+    """
+    return max(TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def marker_items(spans: DataFrame) -> DataFrame:
     """Spans (paper_id, pos, page, text) to items (paper_id, question_number, question_text, options, page_start, page_end).
 
-    A running sum of start spans numbers the segments of a paper, another one
-    the options inside a segment, so there is no join and no span is looked at
-    twice.  Of a marker that repeats the last occurrence counts; options come
-    out in reading order; without all four markers the text is tried for
-    inline options (P2).
+    A running sum of start spans numbers the segments of a paper; each segment
+    is then one list of its spans, which everything else is read off, so there
+    is no join and spans are sorted and gathered once.  Of a marker that repeats
+    the last occurrence counts; options come out in reading order; without all
+    four markers the text is tried for inline options (P2).
     """
     paper = Window.partitionBy("paper_id").orderBy("pos")
     rows = spans.select("paper_id", "pos", "page", strip(F.coalesce("text", F.lit(""))).alias("text"))
     rows = rows.withColumn("starts", first_group("text", START).try_cast("int"))
-    rows = rows.withColumn("seg", F.count("starts").over(paper)).where("seg > 0")
     rows = rows.withColumn("marker", F.when(F.col("starts").isNull(), first_group("text", MARKER).try_cast("int")))
-    item = Window.partitionBy("paper_id", "seg")
-    rows = rows.withColumn("last", F.max("pos").over(Window.partitionBy("paper_id", "seg", "marker")))
-    rows = rows.withColumn("opens", F.col("marker").isNotNull() & (F.col("pos") == F.col("last")))
-    rows = rows.withColumn("first_marker", F.min(F.when(F.col("marker").isNotNull(), F.col("pos"))).over(item))
-    rows = rows.withColumn("slot", F.count(F.when(F.col("opens"), 1)).over(item.orderBy("pos")))
+    rows = rows.repartition(tasks(spans.sparkSession), "paper_id")
+    rows = rows.withColumn("seg", F.count("starts").over(paper)).where("seg > 0")
     body = F.col("starts").isNull()
-    text_like = body & F.col("marker").isNull() & (F.col("text") != "")
-    entry = F.struct("pos", "text")
-    before = F.col("first_marker").isNull() | (F.col("pos") < F.col("first_marker"))
-    slots = [F.nullif(joined(entry, text_like & (F.col("slot") == i), " "), F.lit("")).alias(f"o{i}") for i in range(1, 5)]
     out = rows.groupBy("paper_id", "seg").agg(
         F.max("starts").alias("question_number"),
-        joined(entry, text_like & before, " ").alias("stem"),
-        joined(entry, body & (F.col("text") != ""), " ").alias("whole"),
-        F.size(F.collect_set(F.when(F.col("opens"), F.col("marker")))).alias("n_markers"),
-        *slots,
+        F.collect_list(F.when(body & ((F.col("text") != "") | F.col("marker").isNotNull()), F.struct("pos", "text", "marker"))).alias("spans"),
+        *[F.max(F.when(F.col("marker") == i, F.col("pos"))).alias(f"last{i}") for i in range(1, 5)],
+        F.min(F.when(F.col("marker").isNotNull(), F.col("pos"))).alias("first_marker"),
         F.coalesce(F.min(F.when(body, F.col("page"))), F.lit(-1)).alias("page_start"),
         F.coalesce(F.max(F.when(body, F.col("page"))), F.lit(-1)).alias("page_end"),
     )
+    marked = F.col("last1").isNotNull() & F.col("last2").isNotNull() & F.col("last3").isNotNull() & F.col("last4").isNotNull()
+    out = out.withColumns({"spans": F.array_sort("spans"), "marked": marked})
+    last = F.array("last1", "last2", "last3", "last4")
+    opens = F.filter("spans", lambda x: x.marker.isNotNull() & (x.pos == F.get(last, x.marker - 1)))
+    out = out.withColumns({
+        "plain": F.filter("spans", lambda x: x.marker.isNull()),
+        "opens": F.when(F.col("marked"), F.transform(opens, lambda x: x.pos)),
+    })
+    before = lambda x: F.col("first_marker").isNull() | (x.pos < F.col("first_marker"))
+    slot = lambda x: F.size(F.filter("opens", lambda o: o <= x.pos))
+    out = out.withColumns({
+        "stem": texts(F.filter("plain", before)),
+        "whole": F.when(~F.col("marked"), texts(F.filter("spans", lambda x: x.text != ""))),
+        "slots": F.when(F.col("marked"), F.transform(F.filter("plain", lambda x: ~before(x)), lambda x: F.struct(slot(x).alias("slot"), x.text.alias("text")))),
+    }).drop("spans", "plain", "opens")
+    slots = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: texts(F.filter("slots", lambda x: x.slot == i)))
     inline = inline_options("whole")
-    marked = F.col("n_markers") == 4
-    options = F.filter(F.array("o1", "o2", "o3", "o4"), lambda x: x.isNotNull())
     none = F.array().cast("array<string>")
     return out.select(
         "paper_id", "seg", "question_number",
-        F.when(marked, F.col("stem")).otherwise(F.coalesce(inline.stem, F.col("stem"))).alias("question_text"),
-        F.when(marked, options).otherwise(F.coalesce(inline.options, none)).alias("options"),
+        F.when(F.col("marked"), F.col("stem")).otherwise(F.coalesce(inline.stem, F.col("stem"))).alias("question_text"),
+        F.when(F.col("marked"), F.filter(slots, lambda x: x != "")).otherwise(F.coalesce(inline.options, none)).alias("options"),
         "page_start", "page_end",
     ).where("question_text <> ''")
 

@@ -132,3 +132,46 @@ def test_dispositions(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, question_text string, options array<string>, answer_raw string")
     got = [r.disposition for r in filters.clean_items(df).orderBy("i").collect()]
     assert got == ["integer", "integer_without_answer", "mcq", "answer_out_of_range", "bad_options", "figure", "mcq_without_answer", "empty"]
+
+
+def plain_items(spans):
+    """P1 by hand, of one paper's (pos, page, text)."""
+    out, seg = [], []
+    for pos, page, text in [*sorted(spans), (None, 0, "Q0.")]:
+        text = (text or "").strip()
+        if m := re.match(r"^Q\s*\.?\s*(\d+)\s*[).:-]?$", text):
+            if seg:
+                out.append(seg)
+            seg = [(pos, page, int(m[1]))]
+        elif seg:
+            seg.append((pos, page, text))
+    items = {}
+    for nth, ((_, _, number), *body) in enumerate(out, 1):
+        marks = {x[2]: x[0] for x in body if re.match(r"^\([1-4]\)$", x[2])}
+        first = min([x[0] for x in body if x[2] in marks], default=float("inf"))
+        stem, options, at = [], [[], [], [], []], -1
+        for pos, _, text in body:
+            if text in marks:
+                at += marks[text] == pos
+            elif text and pos < first:
+                stem.append(text)
+            elif text and at >= 0:
+                options[at].append(text)
+        if stem:
+            pages = [x[1] for x in body]
+            items[nth] = (number, " ".join(stem), [" ".join(o) for o in options if o] if len(marks) == 4 else [], min(pages), max(pages))
+    return items
+
+
+def test_segments_follow_their_rule_and_are_sorted_once(spark):
+    rng = random.Random(8)
+    words = ["Q1.", "Q 2 )", "(1)", "(2)", "(3)", "(4)", "(5)", "a", " b ", "", None, "Q3 x"]
+    papers = {f"p{k}": [(i, i // 9, rng.choice(words)) for i in range(300)] for k in range(3)}
+    papers["whole"] = [(i, i, t) for i, t in enumerate(["Q7", "s", "(1)", "x", "(2)", "y", "(1)", "z", "(4)", "", "(3)", "u", "v"])]
+    df = spark.createDataFrame([(k, *s) for k, spans in papers.items() for s in spans], "paper_id string, pos long, page int, text string").repartition(3)
+    got = segment.marker_items(df)
+    rows = {(r.paper_id, r.seg): (r.question_number, r.question_text, r.options, r.page_start, r.page_end) for r in got.collect()}
+    assert rows == {(k, seg): item for k, spans in papers.items() for seg, item in plain_items(spans).items()}
+    assert rows["whole", 1] == (7, "s", ["y", "z", "u v"], 1, 12)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("collect_list") == 2  # in part, and in all
