@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import option_digit
 from ..functions.rewrite import as_column, strip
+from .ordinal import written
 from .ranges import points_in_ranges
 
 # Key formats in order of trust.
@@ -99,12 +100,25 @@ def overridden(items: DataFrame, extracted: DataFrame) -> DataFrame:
     return out.withColumns({"mapped": F.col("new_answer").isNotNull(), "correct_answer": F.coalesce("new_answer", "correct_answer")}).drop("new_answer")
 
 
+def with_page_lists(items: DataFrame, lists: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """J5, J6 as intended (decision B3): for each (per_page, value, name) the values of pages between page_start and page_end, pages from 1.
+
+    Items are made once and written, since their ranges and their other columns
+    are read apart; ranges are joined on blocks of pages, however long they are.
+    """
+    items = written(items, "items")
+    spans, out = items.select("paper_id", "seg", "page_start", "page_end"), items
+    for per_page, value, name in lists:
+        found = points_in_ranges(per_page.where("page > 0").select("paper_id", "page", value), spans, "page", "page_start", "page_end", ["paper_id"])
+        listed = found.groupBy("paper_id", "seg").agg(F.array_sort(F.collect_list(F.struct("page", value))).alias("v"))
+        listed = listed.select("paper_id", "seg", F.transform("v", lambda x: x[value]).alias(name))  # noqa: B023  used at once
+        out = out.join(listed, ["paper_id", "seg"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out
+
+
 def with_page_values(items: DataFrame, per_page: DataFrame, value: str, out: str) -> DataFrame:
-    """J5, J6 as intended (decision B3): values of pages between page_start and page_end, pages from 1; joined on blocks of pages, however long a range is."""
-    spans = items.select("paper_id", "seg", "page_start", "page_end")
-    listed = points_in_ranges(per_page.where("page > 0"), spans, "page", "page_start", "page_end", ["paper_id"]).groupBy("paper_id", "seg").agg(F.array_sort(F.collect_list(F.struct("page", value))).alias("v"))
-    listed = listed.select("paper_id", "seg", F.transform("v", lambda x: x[value]).alias(out))
-    return items.join(listed, ["paper_id", "seg"], "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+    """One value of the pages that an item covers."""
+    return with_page_lists(items, [(per_page, value, out)])
 
 
 def with_tags(items: DataFrame, tags: DataFrame, keys: list[str]) -> DataFrame:
@@ -115,6 +129,6 @@ def with_tags(items: DataFrame, tags: DataFrame, keys: list[str]) -> DataFrame:
 
 def combined(items: DataFrame, images: DataFrame, molecules: DataFrame, confidence: float = 0.85) -> DataFrame:
     """Items with images and successful molecules of their pages."""
-    out = with_page_values(items, images.select("paper_id", "page", "filename"), "filename", "question_images")
     good = molecules.where("status = 'success'").select("paper_id", "page", F.explode("smiles").alias("smiles"))
-    return with_page_values(out, good, "smiles", "chemical_smiles").withColumn("extraction_confidence", F.lit(confidence))
+    out = with_page_lists(items, [(images, "filename", "question_images"), (good, "smiles", "chemical_smiles")])
+    return out.withColumn("extraction_confidence", F.lit(confidence))

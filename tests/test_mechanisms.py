@@ -521,3 +521,23 @@ def test_shards_that_cannot_hold_a_neighbour_are_left_out(spark):
         want |= {(q, n + 1): (i, round(d, 9)) for n, (d, i) in enumerate(near)}
     assert got == want
     assert report["made"] < 0.25 * report["possible"] and report["shards"] > 50
+
+
+def test_items_are_made_once_for_all_values_of_their_pages(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    rows = [(f"p{i % 3}", i, i % 7, i % 7 + (0, 1, 5)[i % 3]) for i in range(60)]
+    items = spark.createDataFrame(rows, "paper_id string, seg long, page_start int, page_end int").withColumn("question_text", F.udf(seen, "string")(F.col("seg").cast("string")))
+    pages = [(f"p{i % 3}", i % 11, f"f{i}") for i in range(40)]
+    images = spark.createDataFrame(pages, "paper_id string, page int, filename string")
+    mols = images.select("paper_id", "page", F.when(F.col("page") % 2 == 0, "success").otherwise("error").alias("status"), F.array("filename", F.lit("x")).alias("smiles"))
+    got = {r.seg: r for r in answers.combined(items, images, mols).collect()}
+    assert made.value == len(rows) == len(got)
+    for paper, seg, lo, hi in rows:
+        on = sorted((page, f) for p, page, f in pages if p == paper and page > 0 and lo <= page <= hi)
+        assert got[seg].question_images == [f for _, f in on]
+        assert got[seg].chemical_smiles == [s for _, s in sorted((page, s) for page, f in on if page % 2 == 0 for s in (f, "x"))]
