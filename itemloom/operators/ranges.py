@@ -33,7 +33,8 @@ def blocks_of(start: str | Column, end: str | Column) -> Column:
     begin = F.struct(lo.alias("lo"), hi.alias("hi"), F.array().cast(BLOCKS).alias("found"))
     steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(hi - lo, F.lit(1)).cast("double"))).cast("int") + 1)
     found = F.aggregate(F.transform(steps, lambda i: i), begin, step, lambda acc: acc["found"])
-    return F.when((lo < hi), found).otherwise(F.array().cast(BLOCKS))
+    single = F.array(F.struct(F.lit(0).alias("level"), lo.alias("block")))  # most ranges: nothing to fold
+    return F.when(lo + 1 == hi, single).when(lo < hi, found).otherwise(F.array().cast(BLOCKS))
 
 
 def points_in_ranges(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, on: list[str]) -> DataFrame:

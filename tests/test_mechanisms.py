@@ -541,3 +541,16 @@ def test_items_are_made_once_for_all_values_of_their_pages(spark):
         on = sorted((page, f) for p, page, f in pages if p == paper and page > 0 and lo <= page <= hi)
         assert got[seg].question_images == [f for _, f in on]
         assert got[seg].chemical_smiles == [s for _, s in sorted((page, s) for page, f in on if page % 2 == 0 for s in (f, "x"))]
+
+
+def test_items_are_made_once_for_one_value_of_their_pages(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    items = spark.createDataFrame([("p", i, i, i + i % 2) for i in range(20)], "paper_id string, seg int, page_start int, page_end int").withColumn("t", F.udf(seen, "string")("paper_id"))
+    pages = spark.createDataFrame([("p", i, f"f{i:02}") for i in range(25)], "paper_id string, page int, f string")
+    got = {r.seg: r.out for r in answers.with_page_values(items, pages, "f", "out").collect()}
+    assert made.value == 20 and got == {i: [f"f{p:02}" for p in range(max(i, 1), i + i % 2 + 1)] for i in range(20)}
