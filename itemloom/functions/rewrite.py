@@ -34,8 +34,8 @@ def let(c: str | Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: str | Column, unicode: bool = True) -> Column:
-    """Trim every kind of white space, not only U+0020."""
-    return rewrite(c, [(r"^\s+|\s+\z", "")], unicode)
+    """Trim every kind of white space, not only U+0020; only the ends of a text are looked at closely."""
+    return F.regexp_extract(as_column(c), ("(?sU)" if unicode else "(?s)") + r"^\s*(.*\S)", 1)
 
 
 def first_group(c: str | Column, pattern: str, group: int = 1) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.prompts import digit_answer, finish_stem, letter_answer
-from ..functions.rewrite import as_column, first_group, rewrite, strip
+from ..functions.rewrite import as_column, first_group, let, rewrite, strip
 from ..functions.textnorm import collapse_spaces
 from .classify import by_priority, by_score, type_by_text
 
@@ -98,12 +98,16 @@ def inline_options(text: str | Column) -> Column:
 def four_chunks(text: str | Column) -> Column:
     """Cut after the last ':' or '?', the tail's words in four near-equal parts."""
     col = as_column(text)
-    tail = F.filter(F.split(strip(F.regexp_replace(col, r"(?s)^.*[:?]", "")), r"\s+"), lambda x: x != "")
-    n = F.size(tail)
-    size = F.floor(n / 4).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.array_join(F.slice(tail, (i * size + F.least(i, n % 4) + 1).cast("int"), (size + F.when(i < n % 4, 1).otherwise(0)).cast("int")), " "))
-    usable = col.rlike("[:?]") & (n >= 4)
-    return F.struct(F.when(usable, first_group(col, r"(?s)^(.*[:?])")).otherwise(col).alias("stem"), F.when(usable, parts).otherwise(F.array().cast("array<string>")).alias("options"))
+    words = F.filter(F.split(strip(F.regexp_replace(col, r"(?s)^.*[:?]", "")), r"\s+"), lambda x: x != "")
+
+    def cut(tail: Column) -> Column:
+        n = F.size(tail)
+        size = F.floor(n / 4).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.array_join(F.slice(tail, (i * size + F.least(i, n % 4) + 1).cast("int"), (size + F.when(i < n % 4, 1).otherwise(0)).cast("int")), " "))
+        usable = col.rlike("[:?]") & (n >= 4)
+        return F.struct(F.when(usable, first_group(col, r"(?s)^(.*[:?])")).otherwise(col).alias("stem"), F.when(usable, parts).otherwise(F.array().cast("array<string>")).alias("options"))
+
+    return let(words, cut)
 
 
 def prefix_items(spans: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from itemloom.functions import chemistry, latex, names, prompts, textnorm
+from itemloom.functions.rewrite import strip
 from itemloom.operators import answers, classify, filters, segment
 
 ALPHABET = list("0123456789 .%mNkgsinco[]()x^-−–,;:\t\n") + ["\u00a0", "sin", "cos", "10", "θ", "𝑔"]
@@ -175,3 +176,17 @@ def test_segments_follow_their_rule_and_are_sorted_once(spark):
     assert rows["whole", 1] == (7, "s", ["y", "z", "u v"], 1, 12)
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Window [") == 1 and plan.count("collect_list") == 2  # in part, and in all
+
+
+def test_whole_texts_are_cut_once(spark):
+    from itemloom import plans
+
+    plan = plans.QUERIES["q_loose_sections"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("^.*[:?]") == 1 and plan.count(r"Q\d+\.|") == 1
+
+
+@pytest.mark.parametrize("unicode", [True, False])
+def test_only_ends_are_stripped(spark, unicode):
+    texts = ["", " ", "\n\t", "a", " a b\n", " a  b\u0085", "a \u0085", "\n\n😀 \r\n", "\x1c a", None, " " * 50 + "x" + " " * 50]
+    white = "[ \t\n\x0b\f\r" + ("\x85\xa0  -     　" if unicode else "") + "]+"
+    assert apply(spark, texts, lambda c: strip(c, unicode)) == [t if t is None else re.sub(rf"\A{white}|{white}\Z", "", t) for t in texts]
