@@ -171,15 +171,22 @@ def merge_formulas(c: str | Column) -> Column:
 
 def fix_latex(c: str | Column) -> Column:
     """Repairs of generated LaTeX; null becomes empty."""
-    col = F.coalesce(as_column(c).cast("string"), F.lit(""))
-    out = decode_escapes(spell(col, math_letters(lambda x, _: x) | REPAIRED))
-    out = rewrite(out, [(r"\\textasciicircum\{\}(-?\d+)", "^{$1}"), (r"\\textasciicircum\{\}", "^")])
-    return rewrite(merge_formulas(out), [(r"\^(-?\d+)(?![}\d])", "^{$1}"), (r"_([a-zA-Z]{2,})(?![}])", "_{$1}"), (r"\$\$", r"\$"), (r"\$\s+", r"\$"), (r"\s+\$", r"\$"), (r"\\mathbb\{([A-Z])\}", "$1")])
+
+    def fixed(x: Column) -> Column:
+        out = decode_escapes(spell(x, math_letters(lambda y, _: y) | REPAIRED))
+        out = rewrite(out, [(r"\\textasciicircum\{\}(-?\d+)", "^{$1}"), (r"\\textasciicircum\{\}", "^")])
+        return rewrite(merge_formulas(out), [(r"\^(-?\d+)(?![}\d])", "^{$1}"), (r"_([a-zA-Z]{2,})(?![}])", "_{$1}"), (r"\$\$", r"\$"), (r"\$\s+", r"\$"), (r"\s+\$", r"\$"), (r"\\mathbb\{([A-Z])\}", "$1")])
+
+    # plain text has nothing to repair: no symbol beyond ASCII, no command, dollar, power or index
+    return let(F.coalesce(as_column(c).cast("string"), F.lit("")), lambda x: F.when(x.rlike(r"[^\x00-\x7F]|[\\$^_]"), fixed(x)).otherwise(x))
 
 
 def latex_error(c: str | Column) -> Column:
     """V1: the first error, '' if there is none (null and empty are valid)."""
-    col = F.coalesce(as_column(c), F.lit(""))
+    return let(F.coalesce(as_column(c), F.lit("")), lambda x: F.when(x.rlike(r"[\\${}]"), error_of(x)).otherwise(""))
+
+
+def error_of(col: Column) -> Column:
     depth = F.aggregate(
         F.regexp_extract_all(col, F.lit(r"[{}]"), F.lit(0)),
         F.struct(F.lit(0).alias("now"), F.lit(0).alias("low")),
@@ -199,12 +206,9 @@ def item_error(stem: str | Column, options: str | Column, kind: str | Column) ->
     """V2: the first error of stem, option count and options."""
     opts = F.coalesce(as_column(options), F.array().cast("array<string>"))
     bad = F.filter(F.transform(opts, latex_error), lambda e: e != "")
-    return (
-        F.when(latex_error(stem) != "", F.concat(F.lit("Question: "), latex_error(stem)))
-        .when((as_column(kind) == "mcq") & (F.size(opts) < 4), "Not enough options")
-        .when(F.size(bad) > 0, F.concat(F.lit("Option: "), F.try_element_at(bad, F.lit(1))))
-        .otherwise("")
-    )
+    first = let(bad, lambda b: F.when(F.size(b) > 0, F.concat(F.lit("Option: "), F.try_element_at(b, F.lit(1)))).otherwise(""))
+    rest = F.when((as_column(kind) == "mcq") & (F.size(opts) < 4), "Not enough options").otherwise(first)
+    return let(latex_error(stem), lambda e: F.when(e != "", F.concat(F.lit("Question: "), e)).otherwise(rest))
 
 
 def counts_balanced(c: str | Column) -> Column:

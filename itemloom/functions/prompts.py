@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rewrite import as_column, first_group, rewrite, strip
+from .rewrite import as_column, first_group, let, rewrite, strip
 
 
 def repair_json(c: str | Column) -> Column:
@@ -21,8 +21,9 @@ def parse_answers(c: str | Column, element: str, expected: Column) -> Column:
 
 def parse_or_repair(c: str | Column, schema: str, required: str) -> Column:
     """Parse as it is, else once more after repair; ``required`` tells a parse that worked."""
-    raw, again = F.from_json(as_column(c), schema), F.from_json(repair_json(c), schema)
-    return F.when(raw[required].isNotNull(), raw).when(again[required].isNotNull(), again)
+    works = lambda x, other: F.when(x[required].isNotNull(), x).otherwise(other)
+    again = let(F.from_json(repair_json(c), schema), lambda x: works(x, F.lit(None)))
+    return let(F.from_json(as_column(c), schema), lambda x: works(x, again))
 
 
 def prompt_row(text: str | Column, options: str | Column, chars: int = 500, count: int = 4) -> Column:

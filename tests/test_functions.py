@@ -190,3 +190,11 @@ def test_only_ends_are_stripped(spark, unicode):
     texts = ["", " ", "\n\t", "a", " a b\n", " a  b\u0085", "a \u0085", "\n\n😀 \r\n", "\x1c a", None, " " * 50 + "x" + " " * 50]
     white = "[ \t\n\x0b\f\r" + ("\x85\xa0  -     　" if unicode else "") + "]+"
     assert apply(spark, texts, lambda c: strip(c, unicode)) == [t if t is None else re.sub(rf"\A{white}|{white}\Z", "", t) for t in texts]
+
+
+def test_errors_are_sought_once_and_plain_text_is_left_alone(spark):
+    df = spark.createDataFrame([(t,) for t in ["plain (1) text", "a_bc 2^10", "é $x$ $y$", r"\mathbb{R}", "", None, "}{", "$a"]], "t string")
+    error = df.select(latex.item_error("t", F.array("t", "t", "t", "t"), F.lit("mcq")).alias("e"))
+    assert error._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 6
+    assert [r.e for r in error.collect()] == ["", "", "", r"Question: Contains \mathbb (broken output)", "", "", "Question: Unbalanced braces (extra })", "Question: Unbalanced $ signs"]
+    assert [r.f for r in df.select(latex.fix_latex("t").alias("f")).collect()] == ["plain (1) text", "a_{bc} 2^{10}", "é$x y$", "R", "", "", "}{", "$a"]
