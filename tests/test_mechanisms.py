@@ -7,9 +7,11 @@ import random
 import re
 import threading
 import time
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from itemloom import jobs
@@ -241,6 +243,120 @@ def test_a_killed_stream_tags_each_item_once(spark, tmp_path):
         assert (status, subject) == (("failed", "Unknown") if text == "poison" else ("ok", "Physics")) and (tries == 3 if text == "poison" else tries <= 2), paper
 
 
+def test_open_items_are_asked_again_after_a_restart_without_new_rows(spark, tmp_path):
+    schema = "paper_id string, n long, question_text string"
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    spark.createDataFrame([("p", i, "poison" if i == 3 else "force") for i in range(10)], schema).coalesce(1).write.parquet(src)
+    made = lambda: stateful.read_output(spark, out, stateful.TAGGED)
+    rows = lambda: stateful.tagging(spark.readStream.schema(schema).parquet(src), poisoned(), ["n"], wait=0.2)
+    assert rows().writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(once=True).start().awaitTermination(60)
+    assert made().count() == 0  # a whole batch, all of it open
+    stateful.until(stateful.to_files(rows(), out, ck), lambda: made().count() >= 10, 40)
+    assert sorted((r.tag_status, r.tries) for r in made().collect()) == [("failed", 3)] + [("ok", 2)] * 9
+
+
+class Kept(dict):
+    """A map state without a JVM; ``trips`` counts what would go there."""
+
+    trips = 0
+
+    def exists(self):
+        Kept.trips += 1
+        return bool(self)
+
+    def containsKey(self, key):
+        Kept.trips += 1
+        return key in self
+
+    def updateValue(self, key, value):
+        Kept.trips += 1
+        self[key] = value
+
+    def iterator(self):
+        Kept.trips += 1
+        return iter(list(self.items()))
+
+    def values(self):
+        Kept.trips += 1
+        return iter(list(super().values()))
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, Kept())
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return 1000
+
+
+def test_a_new_paper_asks_little_of_the_state():
+    handle, row = Handle(), Row("paper_id", "item", "text")
+    t = stateful.Tagging(poisoned())
+    t.init(handle)
+
+    def came(items, text="force"):
+        Kept.trips = 0
+        got = [r.item for r in t.handleInputRows(("p",), iter([row("p", f"i{i}", text) for i in items]), handle)]
+        return got, Kept.trips
+
+    assert came(range(100)) == ([f"i{i}" for i in range(100)], 13)  # three and one for each call; 300 item by item
+    got, trips = came(range(50, 150))  # half of them again
+    assert got == [f"i{i}" for i in range(100, 150)] and trips == 8
+    assert came([7, 149])[0] == []
+    assert came([200, 201], "poison")[0] == [] and handle.timers == [3000] and len(handle.states["open"]) == 2
+    assert came([201, 202])[0] == ["i202"]  # open ones are not handed out again
+    for tries in (2, 3):
+        Kept.trips, failed = 0, [(r.item, r.tag_status, r.tries) for r in t.handleExpiredTimer(("p",), handle, None)]
+        assert failed == ([] if tries == 2 else [("i200", "failed", 3), ("i201", "failed", 3)])
+    assert came([200, 201, 202])[0] == []
+
+
+def test_a_large_paper_is_not_read_again_as_a_whole():
+    handle, row = Handle(), Row("paper_id", "item", "text")
+    t = stateful.Tagging(poisoned())
+    t.init(handle)
+    came = lambda items: [r.item for r in t.handleInputRows(("p",), iter([row("p", f"i{i}", "force") for i in items]), handle)]
+    for lo in range(0, 3000, 600):
+        assert len(came(range(lo, lo + 600))) == 600
+    assert sum(len(items) for (items,) in handle.states["early"].values()) == stateful.FEW == 3000 - len(handle.states["done"])
+    assert came(range(3000)) == [] and came([2999, 3000]) == ["i3000"]
+
+
+class Running:
+    """A stream of so many batches that change its state, then of idle ones."""
+
+    def __init__(self, batches, each=1):
+        self.batches, self.each, self.looks, self.isActive = batches, each, 0, True
+
+    @property
+    def lastProgress(self):
+        n = self.looks // self.each
+        self.looks += 1
+        return SimpleNamespace(batchId=n, timestamp=str(n), numInputRows=1, stateOperators=[SimpleNamespace(numRowsUpdated=int(n < self.batches), numRowsRemoved=0)])
+
+    def exception(self):
+        return None
+
+    def stop(self):
+        self.isActive = False
+
+
+def test_a_stream_may_run_for_long_while_rows_come():
+    q, asked = Running(12, each=5), []
+    stateful.until(q, lambda: asked.append(1) or len(asked) > 10, 0.2, 0.01)  # 0.5 s
+    assert not q.isActive and len(asked) == 11 and q.looks > 40  # once a batch
+    q = Running(3, each=5)
+    with pytest.raises(TimeoutError):
+        stateful.until(q, lambda: False, 0.2, 0.01)
+    assert not q.isActive
+
+
 def test_late_rows_are_counted(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
     schema = "ts timestamp, event_type string, value double"
