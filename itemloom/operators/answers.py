@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prompts import option_digit
-from ..functions.rewrite import as_column, strip
+from ..functions.rewrite import as_column, let, strip
 from .ordinal import written
 from .ranges import points_in_ranges
 
@@ -17,6 +17,8 @@ SEQUENCE_PATTERN = r"\((\d+)\)"
 DOTTED_PATTERN = r"(\d+)\.\s*\(([^\)]+)\)"
 SEQUENCE_LEAST = 10
 ENTRY = "array<struct<pos:int,question_number:int,answer:string>>"
+#: Texts of any length; without it a text of over 20 million characters makes its JSON null.
+WHOLE = {"maxStringLen": str(2**31 - 1)}
 
 
 def pairs(text: Column, pattern: str) -> Column:
@@ -57,11 +59,12 @@ def dotted_key(texts: DataFrame, text: str = "text") -> DataFrame:
     return last_wins(texts.select("paper_id", pairs(F.col(text), DOTTED_PATTERN).alias("entries")))
 
 
-def combined_text(blocks: str | Column) -> Column:
-    """JSON blocks whose text is a struct or a string, joined by newlines; others are skipped."""
-    rows = F.from_json(as_column(blocks), "array<string>")
-    texts = F.transform(rows, lambda b: F.coalesce(F.get_json_object(b, "$.text.text"), F.get_json_object(b, "$.text")))
-    return F.array_join(F.filter(texts, lambda t: t.isNotNull() & (t != "")), "\n")
+def combined_text(blocks: str | Column, keep_empty: bool = False) -> Column:
+    """JSON blocks whose text is a struct or a string, joined by newlines; others are skipped, and empty texts unless ``keep_empty``."""
+    inner = lambda b: F.from_json(b, "text struct<text string>", WHOLE).text.text
+    text = lambda b: let(F.from_json(b, "text string", WHOLE).text, lambda t: F.when(F.startswith(t, F.lit("{")), F.coalesce(inner(b), t)).otherwise(t))
+    texts = F.transform(F.from_json(as_column(blocks), "array<string>", WHOLE), text)
+    return F.array_join(F.filter(texts, lambda t: t.isNotNull() if keep_empty else t.isNotNull() & (t != "")), "\n")
 
 
 def raw_answers(papers: DataFrame) -> DataFrame:

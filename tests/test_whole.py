@@ -5,11 +5,12 @@ import math
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from itemloom import plans
-from itemloom.functions import textnorm
-from itemloom.operators import retrieval
+from itemloom.functions import graphemes, textnorm
+from itemloom.operators import answers, retrieval
 from itemloom.plans import bank
 
 SF = "/root/testdata/sf0.001"
@@ -237,3 +238,39 @@ def test_letters_of_other_scripts_end_a_word(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.h for r in plans.QUERIES["q_normalize_documents"](spark, str(tmp_path)).collect()}
     assert got == {i: hashlib.md5(plain_normal(f"{text} {i}{bank.PHRASE}").encode()).hexdigest() for i, text in docs}
+
+
+#: Texts and their clusters.
+CLUSTERED = [
+    ["a", "e\u0301", "b"], ["x", "\U0001f468\u200d\U0001f469\u200d\U0001f467", "\u261d\U0001f3fd"], ["\U0001f1e9\U0001f1ea", "\U0001f1eb", "a"],
+    ["\u0915\u094d\u0937\u093f", "\u0915"], ["\u0915\u200d", "\u0937"], ["\u1100\u1161\u11a8", "\uac01\u11a8", "\uac00", "\u1100"], ["\u0e01\u0e33", "\u0600a"],
+    ["\xe4", "\r\n", "\n", "\r", "b"], ["a", "\r", "\n", "b"], ["\x00", "\xad", "\u0301", "\u200b", "\u200d"], ["\u261d\u200d", "a"], ["\xa9\u200d\xae", "\u4e2d"], ["\U0001f1e9\u0301", "\U0001f1ea"],
+]
+
+
+def test_clusters_stay_whole(spark):
+    df = spark.createDataFrame([(i, "".join(c)) for i, c in enumerate(CLUSTERED)], "i int, text string")
+    got = {r.i: (r.clusters, r.back) for r in df.select("i", graphemes.clusters("text").alias("clusters"), graphemes.reversed_text("text").alias("back")).collect()}
+    for i, c in enumerate(CLUSTERED):
+        assert got[i][1] == "".join(c[::-1]), c
+        assert got[i][0] == c or "".join(c).isascii(), c
+
+
+def test_polymorphic_texts_on_odd_texts(spark, tmp_path):
+    rng = random.Random(6)
+    pieces = [x for c in CLUSTERED for x in c] + list('"\\{}[] /\t\x1f\x7f\u2028\ufeff\uffff') + ['{"text":"x"}', '{"text":{"text":"x"}}', "null", "", "w\xf6rd "]
+    texts = [None, "", "{", *map("".join, CLUSTERED), *("".join(rng.choices(pieces, k=rng.randint(0, 9))) for _ in range(2000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    long = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.repeat(F.lit("ab"), F.lit(10_000_001)).alias("text"))
+    docs.union(long).write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(map(tuple, plans.QUERIES["q_polymorphic_texts"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(con.execute(plans.ORACLES["q_polymorphic_texts"]).fetchall())
+    assert len(got) == len(texts) + 1
+
+
+def test_empty_texts_of_blocks(spark):
+    blocks = '[{"text":""},{"text":"{a}"},{"page":1},{"text":{"text":"b"}},{"text":{"text":""}},{"text":"{\\"text\\":\\"c\\"}"},{"text":null}]'
+    r = spark.range(1).select(answers.combined_text(F.lit(blocks)).alias("full"), answers.combined_text(F.lit(blocks), keep_empty=True).alias("all")).first()
+    assert r.full == '{a}\nb\n{"text":"c"}' and r.all == '\n{a}\nb\n\n{"text":"c"}'
